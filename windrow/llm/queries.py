@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, digest, mixing
+from . import decontaminate, digest, language, mixing, pitman_yor, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_pitman_yor": pitman_yor.op1_pitman_yor,
         "op2_decontamination": decontaminate.op2_decontamination,
         "op4_canonical_digest": digest.op4_canonical_digest,
+        "op6_toxicity": toxicity.op6_toxicity,
         "op7_mixing": mixing.op7_mixing,
+        "op9_language": language.op9_language,
     }
 
 
