@@ -19,9 +19,10 @@ SPAN, K = 10, 5
 BROADCAST_WINDOWS = 500_000
 #: Bits of a packed fingerprint that hold its place in the text.
 PLACE_BITS = 26
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same before lower-casing, for counts.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, spelled character by character: Java looks those up in one table.
+WORD = "[^" + "".join(rf"\x{c:02X}" for c in range(0x80) if not chr(c).isdigit() and not chr(c).islower()) + "]+"
+#: Stands for no k-gram: each document meets the tests on it once, with its number of words.
+COUNTER = -1
 
 
 def words(text: Column) -> Column:
@@ -63,41 +64,50 @@ def test_windows(tests: DataFrame, span: int) -> DataFrame:
     return items.select("item_id", n.alias("span"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("words", i + 1, n), " "))).alias("window")).distinct()
 
 
-def hits(docs: DataFrame, tests: DataFrame, span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, _key, start, span, window), distinct; the test windows)."""
+def hits(docs: DataFrame, tests: DataFrame, span: int = SPAN, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((doc_id, _key, start, span, window), distinct; the test windows; (doc_id, _key, n_words), a row a document).
+
+    Each document is read once for the test windows of span words, and once
+    more for each shorter length that items have.
+    """
     windows = common.stage(test_windows(tests, span), "windows")
     spans = {row["span"]: row["n"] for row in windows.groupBy("span").agg(F.count(F.lit(1)).alias("n")).collect()}  # span rows at most
     broad = sum(spans.values()) <= BROADCAST_WINDOWS
     small = F.broadcast if broad else (lambda df: df)
     read = docs.select("doc_id", common.text_key(F.col("text")).alias("_key"), words(F.col("text")).alias("words"))
-    found = []
-    for n in sorted(spans):
+    counts, found = None, []
+    for n in sorted({span, *spans}, reverse=True):
         size = min(k, n)
         texts = windows.filter(F.col("span") == n)
-        grams = texts.select(F.explode(winnow(F.split("window", " "), n, size)).alias("kept")).select(gram(F.col("kept")).alias("gram")).distinct()
-        kept = read.select("doc_id", "_key", "words", F.explode(winnow(F.col("words"), n, size)).alias("kept"))
-        kept = kept.withColumns({"gram": gram(F.col("kept")), "at": place(F.col("kept"))})
+        grams = texts.select(F.explode(winnow(F.split("window", " "), n, size)).alias("kept")).select(gram(F.col("kept")).alias("gram"))
+        kept = winnow(F.col("words"), n, size)
+        if counts is None:
+            grams = grams.union(docs.sparkSession.range(1).select(F.lit(COUNTER).cast("long")))
+            kept = F.array_append(kept, F.lit(COUNTER).cast("long"))
+        kept = read.select("doc_id", "_key", "words", F.explode(kept).alias("kept"))
+        kept = kept.withColumns({"gram": F.when(F.col("kept") == COUNTER, F.col("kept")).otherwise(gram(F.col("kept"))), "at": place(F.col("kept"))})
         # the words around a kept k-gram that the runs which hold it can reach
         first = F.greatest(F.col("at") - (n - size), F.lit(0))
-        around = {"first": first, "near": F.slice("words", first + 1, F.col("at") - first + n)}
+        near = F.when(F.col("kept") != COUNTER, F.slice("words", first + 1, F.col("at") - first + n))
+        around = {"first": first, "near": near, "n_words": F.size("words")}
         if broad:
-            met = kept.join(small(grams), "gram", "left_semi").withColumns(around)
+            met = kept.join(small(grams.distinct()), "gram", "left_semi").withColumns(around)
         else:
-            met = kept.withColumns(around).drop("words").join(grams, "gram", "left_semi")
-        runs = met.select("doc_id", "_key", F.explode(runs_of(F.col("near"), F.col("first"), n)).alias("run")).select("doc_id", "_key", "run.start", F.lit(n).alias("span"), "run.window")
-        found.append(runs.join(small(texts.select("window").distinct()), "window", "left_semi").distinct())
-    if not found:
-        empty = read.filter(F.lit(False)).select("doc_id", "_key", F.lit(0).alias("start"), F.lit(0).alias("span"), F.lit("").alias("window"))
-        return empty, windows
+            met = kept.withColumns(around).drop("words").join(grams.distinct(), "gram", "left_semi")
+        met = common.stage(met.select("doc_id", "_key", "first", "near", "n_words"), "met")
+        if counts is None:
+            counts = met.filter("near is null").select("doc_id", "_key", "n_words")
+        runs = met.filter("near is not null").select("doc_id", "_key", F.explode(runs_of(F.col("near"), F.col("first"), n)).alias("run"))
+        runs = runs.select("doc_id", "_key", "run.start", F.lit(n).alias("span"), "run.window")
+        found.append(runs.join(small(texts.select("window").distinct()), "window", "left_semi").distinct().select("doc_id", "_key", "start", "span", "window"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return common.stage(out.select("doc_id", "_key", "start", "span", "window"), "hits"), windows
+    return common.stage(out, "hits"), windows, counts
 
 
-def contaminated(docs: DataFrame, tests: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
+def contaminated(found: DataFrame, windows: DataFrame) -> DataFrame:
     """(doc_id, _key, n_hit, n_items, items_sha256) of the documents that hold test windows."""
-    found, windows = hits(docs, tests, span, k)
     in_order = Window.partitionBy("doc_id", "_key").orderBy("start", "span")
     ends = F.max(F.col("start") + F.col("span")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("span") - F.greatest(F.col("start"), F.coalesce(ends, F.lit(0))))
@@ -116,8 +126,9 @@ def measure(docs: DataFrame, tests: DataFrame, span: int = SPAN, k: int = K) ->
     each; rows that share only their doc_id are told apart by their texts. Items with
     a null text or without words match nothing; items that share an id are one item.
     """
-    found = contaminated(docs, tests, span, k).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
-    counted = docs.select("doc_id", common.text_key(F.col("text")).alias("_key"), F.coalesce(F.regexp_count(F.col("text"), F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    found, windows, counts = hits(docs, tests, span, k)
+    found = contaminated(found, windows).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
+    counted = counts.withColumn("n_words", F.col("n_words").cast("long"))
     out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
