@@ -6,7 +6,8 @@ a linked pair must share many prefix tokens, not one: documents that share fewer
 with all others have no link. Then, for those left, tokens are ordered by
 frequency, rare first, and prefixes extended by one token for each class of
 frequent tokens: rare prefix tokens are keys by themselves, of frequent ones the
-pairs within a class. Pairs that share a key are verified on their whole sets.
+pairs within a class. A key bounds what two sets can share: what is left of them from
+its place on. Pairs that share a key that leaves enough are verified on their whole sets.
 """
 
 from __future__ import annotations
@@ -69,33 +70,48 @@ def _whole(n_words: int):
 
 
 def _signatures(percent: int):
-    """Keys of each set from its shared tokens with their frequencies."""
+    """Keys of each set from its shared tokens with their frequencies, and how much the set can share with one that has the same key.
+
+    The first token that two linked sets have in common is a key of both, or the first two of a class
+    are; before the latter's second they share one token at most of each class that came before it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, items = [], []
+            keys, items, rest = [], [], []
             ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for k, (doc, n) in enumerate(zip(ids, sizes, strict=True)):
                 pairs = batch.column(2)[k].values
                 df, token = pairs.field("df").to_numpy(), pairs.field("token").to_numpy().view(np.uint64)
-                least = _overlap(int(n), percent)
-                take = min(int(n), int(n) - least + 1 + CLASSES) - (int(n) - len(token))  # tokens of this set alone come first
+                least, lone = _overlap(int(n), percent), int(n) - len(token)  # tokens of this set alone come first
+                take = min(int(n), int(n) - least + 1 + CLASSES) - lone
                 if take <= 0:
                     continue
                 order = np.lexsort((token, df))[:take]
                 df, token = df[order], token[order]
+                left = int(n) - lone - np.arange(len(token))
                 alone = df <= FREQUENT
-                made = [token if least <= CLASSES else token[alone]]
-                often = token[~alone]
+                single = np.ones(len(token), bool) if least <= CLASSES else alone
+                made, more = [token[single]], [left[single]]
+                often = np.flatnonzero(~alone)
+                fresh = np.zeros(len(token), np.int64)
+                fresh[often[np.unique(token[often] % np.uint64(CLASSES), return_index=True)[1]]] = 1
+                before = np.cumsum(fresh) - fresh
                 for c in range(CLASSES):
-                    part = often[often % np.uint64(CLASSES) == c]
-                    i, j = np.triu_indices(len(part), 1)
-                    made.append(words.mix(np.minimum(part[i], part[j]) * words.GRAM[0] + np.maximum(part[i], part[j]) * words.GRAM[1]))
-                made = np.unique(np.concatenate(made))
-                keys.append(made)
-                items.append(np.full(len(made), doc))
+                    at = np.flatnonzero(~alone & (token % np.uint64(CLASSES) == c))
+                    i, j = (at[x] for x in np.triu_indices(len(at), 1))
+                    made.append(words.mix(np.minimum(token[i], token[j]) * words.GRAM[0] + np.maximum(token[i], token[j]) * words.GRAM[1]))
+                    more.append(left[j] + before[j])
+                made, more = np.concatenate(made), np.concatenate(more)
+                by_key = np.lexsort((-more, made))
+                made, more = made[by_key], more[by_key]
+                first = np.append(True, made[1:] != made[:-1])[: len(made)]
+                keys.append(made[first])
+                rest.append(more[first])
+                items.append(np.full(int(first.sum()), doc))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.concatenate(items) if items else np.zeros(0, np.int64))], ["key", "item"])
+            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (items, rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *map(pa.array, columns)], ["key", "item", "rest"])
 
     return run
 
@@ -131,13 +147,13 @@ def classes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> Da
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = tokens.join(often, "token").groupBy("item", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # a document's tokens
     shared = common.stage(shared.filter(F.size("shared") >= least(F.col("n"))), "shared")
-    keys = shared.select("item", "n", "shared").mapInArrow(_signatures(percent), "key long, item long")
+    keys = shared.select("item", "n", "shared").mapInArrow(_signatures(percent), "key long, item long, rest long")
     # what bounds a pair's overlap: the size, and the tokens that any other set has
-    about = shared.select("item", F.struct((F.col("n") - F.size("shared")).alias("alone"), "n", F.size("shared").alias("shared")).alias("about"))
-    members = keys.join(about, "item")
+    about = shared.select("item", (F.col("n") - F.size("shared")).alias("alone"), "n", F.size("shared").alias("shared"))
+    members = keys.join(about, "item").select("key", "item", F.struct("alone", "n", "shared", "rest").alias("about"))
 
     def able(a: Column, b: Column) -> Column:
-        most = F.least(a["shared"], b["shared"])
+        most = F.least(a["shared"], b["shared"], a["rest"], b["rest"])
         return 100 * most >= percent * (a["n"] + b["n"] - most)
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Connected groups from shared keys, without all pairs of a key's members.
 
-Members that share a key are candidates. In each round every key whose members
-are not yet in one component tests its open members against one pivot; verified
-pairs join components. What stays open after the rounds is tested pair by pair,
-across components only, so no link between different components is lost.
+Members that share a key are candidates. Keys with the same members count once. In
+each round every key whose members are not yet in one component tests its open
+members against one pivot, another in each round; verified pairs join components.
+What stays open after the rounds is tested pair by pair, across components only,
+so no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROUNDS = 2
+ROUNDS = 3
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,27 +33,35 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def distinct_groups(members: DataFrame) -> DataFrame:
+    """members of keys with several of them; of keys with the same members and abouts, told by their number and 64 bits of sums of hashes, one."""
+    part = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "item", "about"), F.lit(1 << 32)))
+    sets = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), part(1).alias("x"), part(2).alias("y")).filter("n > 1")
+    return members.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], able: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(item, component) of the items that have links; members(key, item, about).
 
     verify takes pairs(a, b) and returns those that hold; able says from two
     abouts whether a pair can hold at all. Pivots are the first members by
-    about, then the last.
+    about, then the last, then the first by seeded hashes.
     """
-    members = common.stage(members, "members")
+    members = common.stage(distinct_groups(common.stage(members, "keyed")), "members")
     able = able or (lambda _a, _b: F.lit(True))
     edges, labels = None, None
     for turn in range(ROUNDS + 1):
         own = members if labels is None else members.join(labels, "item", "left")
         own = own.select("key", "item", "about", (F.col("item") if labels is None else F.coalesce("component", "item")).alias("component"))
         if turn < ROUNDS:
-            pick = (F.min if turn == 0 else F.max)(F.struct("about", "item", "component"))
+            order = [F.xxhash64(F.lit(turn), "item").alias("order")] if turn > 1 else []
+            pick = (F.max if turn == 1 else F.min)(F.struct(*order, "about", "item", "component"))
             keys = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), pick.alias("pivot")).filter("low < high").select("key", "pivot")
             pairs = own.join(keys, "key").filter((F.col("component") != F.col("pivot.component")) & able(F.col("about"), F.col("pivot.about")))
             pairs = pairs.select(F.least("item", "pivot.item").alias("a"), F.greatest("item", "pivot.item").alias("b")).distinct()
         else:
             keys = own.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-            left = common.stage(own.join(keys, "key", "left_semi"), "open")
+            left = common.stage(distinct_groups(common.stage(own.join(keys, "key", "left_semi"), "open")), "left")
             right = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("item", "about", "component")))
             pairs = left.join(right, (left["key"] == right["key"]) & (F.col("item") < F.col("_item")) & (F.col("component") != F.col("_component")) & able(F.col("about"), F.col("_about")))
             pairs = pairs.select(F.col("item").alias("a"), F.col("_item").alias("b")).distinct()
