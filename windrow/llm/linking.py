@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-ROUNDS = 3
+ROUNDS = 2
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], able: Cal
 
     verify takes pairs(a, b) and returns those that hold; able says from two
     abouts whether a pair can hold at all. Pivots are the first members by
-    about, then the last, then the first by seeded hashes.
+    about, then the last; further rounds, if asked for, take the first by seeded hashes.
     """
     members = common.stage(distinct_groups(common.stage(members, "keyed")), "members")
     able = able or (lambda _a, _b: F.lit(True))
