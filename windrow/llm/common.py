@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,9 @@ from pyspark.sql.window import Window
 
 #: Words as the contracts state them: runs of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
+#: Spark's setting to delete a query's shuffle files when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_scratch = threading.local()
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -19,18 +25,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir. Where none is set: a temporary one of our own on a local master, the warehouse on a cluster."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="windrow-"))
+        own = tempfile.mkdtemp(prefix="windrow-") if context.master.startswith("local") and "cluster" not in context.master else f"{spark.conf.get('spark.sql.warehouse.dir')}/windrow"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return context.getCheckpointDir()
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/windrow-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within are deleted when the block ends, but for those staged with keep, which belong to the block around it."""
+    blocks = _scratch.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        for path in blocks.pop():
+            _remove(spark, path)
+
+
+def stage(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Shuffle files of the write go when it is done. keep: the table outlives the innermost scratch().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/windrow-{uuid.uuid4().hex}/{name}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    blocks = _scratch.__dict__.get("blocks", [])
+    if len(blocks) > keep:
+        blocks[-1 - keep].append(path.rpartition("/")[0])
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_lower(text: Column) -> Column:
