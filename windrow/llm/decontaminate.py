@@ -17,6 +17,8 @@ from . import common
 SPAN, K = 10, 5
 #: Test windows up to this many are broadcast; beyond, both joins shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Documents with hits up to this many are broadcast to all documents; beyond, they are joined by shuffle.
+BROADCAST_HITS = 200_000
 #: Bits of a packed fingerprint that hold its place in the text.
 PLACE_BITS = 26
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+, spelled character by character: Java looks those up in one table.
@@ -126,17 +128,21 @@ def measure(docs: DataFrame, tests: DataFrame, span: int = SPAN, k: int = K) ->
     each; rows that share only their doc_id are told apart by their texts. Items with
     a null text or without words match nothing; items that share an id are one item.
     """
-    found, windows, counts = hits(docs, tests, span, k)
-    found = contaminated(found, windows).withColumnsRenamed({"doc_id": "_d", "_key": "_k"})
-    counted = counts.withColumn("n_words", F.col("n_words").cast("long"))
-    out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
+    with common.scratch(docs.sparkSession):
+        found, windows, counts = hits(docs, tests, span, k)
+        counts = common.stage(counts.withColumn("n_words", F.col("n_words").cast("long")), "counts", keep=True)
+        found = common.stage(contaminated(found, windows).withColumnsRenamed({"doc_id": "_d", "_key": "_k"}), "contaminated", keep=True)
+    out = counts.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_key").eqNullSafe(F.col("_k")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, span: int = SPAN, k: int = K) -> DataFrame:
     """docs without those that hold a test window."""
-    found = hits(docs, tests, span, k)[0].select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
+    with common.scratch(docs.sparkSession):
+        found = hits(docs, tests, span, k)[0].select(F.col("doc_id").alias("_d"), F.col("_key").alias("_k")).distinct()
+        found = common.stage(found, "found", keep=True)
+    found = F.broadcast(found) if found.count() <= BROADCAST_HITS else found
     return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & common.text_key(F.col("text")).eqNullSafe(F.col("_k")), "left_anti")
 
 

@@ -27,7 +27,7 @@ EXTENSION = 15
 #: Tokens of more sets than this are frequent; their pairs are keys, within CLASSES classes.
 FREQUENT, CLASSES = 64, 8
 #: Ids up to this many are broadcast to the documents; beyond, they are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 200_000
 
 
 def _overlap(n, percent: int):
@@ -79,8 +79,7 @@ def _signatures(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, items, rest = [], [], []
-            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for k, (doc, n) in enumerate(zip(ids, sizes, strict=True)):
+            for k, n in enumerate(batch.column(1).to_numpy()):
                 pairs = batch.column(2)[k].values
                 df, token = pairs.field("df").to_numpy(), pairs.field("token").to_numpy().view(np.uint64)
                 least, lone = _overlap(int(n), percent), int(n) - len(token)  # tokens of this set alone come first
@@ -108,10 +107,10 @@ def _signatures(percent: int):
                 first = np.append(True, made[1:] != made[:-1])[: len(made)]
                 keys.append(made[first])
                 rest.append(more[first])
-                items.append(np.full(int(first.sum()), doc))
+                items.append(np.full(int(first.sum()), k))
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (items, rest)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *map(pa.array, columns)], ["key", "item", "rest"])
+            at, more = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (items, rest))
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(at)), pa.array(more)], ["key", "item", "rest"])
 
     return run
 
@@ -129,52 +128,57 @@ def classes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> Da
     share a doc_id count as linked. Rows without a doc_id have no links and a null
     component. Other columns are left out.
     """
-    texts = docs.select("doc_id", "text")
-    first = common.stage(texts.mapInArrow(_prefixes(n_words, percent), "doc_id long, n long, prefix array<long>"), "prefixes")
-    posts = first.filter("doc_id is not null").select("doc_id", "n", F.explode("prefix").alias("token"))
-    several = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
-    least = lambda n: F.floor((F.lit(percent) * n + 99) / 100)
-    needed = F.floor((F.lit(EXTENSION) * least(least(F.col("n"))) + 99) / 100)
-    near = posts.join(several, "token", "left_semi").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= needed)
-    near = common.stage(near.select("doc_id").distinct(), "near")
-
-    sets = common.stage(_with_ids(texts, near).mapInArrow(_whole(n_words), "doc_id long, n long, h1 long, h2 long, tokens array<long>"), "sets")
-    same = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("item"))
-    member = common.stage(sets.filter("n > 0").join(same, ["h1", "h2", "n"]).select("doc_id", "item", "n").distinct(), "classes")
-    whole = common.stage(sets.join(same, ["h1", "h2", "n"]).filter("doc_id = item").select("item", "n", "tokens").dropDuplicates(["item", "n"]), "whole")
-
-    tokens = whole.select("item", "n", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    shared = tokens.join(often, "token").groupBy("item", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # a document's tokens
-    shared = common.stage(shared.filter(F.size("shared") >= least(F.col("n"))), "shared")
-    keys = shared.select("item", "n", "shared").mapInArrow(_signatures(percent), "key long, item long, rest long")
-    # what bounds a pair's overlap: the size, and the tokens that any other set has
-    about = shared.select("item", (F.col("n") - F.size("shared")).alias("alone"), "n", F.size("shared").alias("shared"))
-    members = keys.join(about, "item").select("key", "item", F.struct("alone", "n", "shared", "rest").alias("about"))
-
-    def able(a: Column, b: Column) -> Column:
-        most = F.least(a["shared"], b["shared"], a["rest"], b["rest"])
-        return 100 * most >= percent * (a["n"] + b["n"] - most)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        left = whole.select(F.col("item").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a"))
-        right = whole.select(F.col("item").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("of_b"))
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
-
-    linked = linking.link(members, verify, able)
-    # rows that share an id, and copies, belong together even where their sets have no other link
-    ties = member.filter("doc_id <> item").select(F.col("doc_id").alias("a"), F.col("item").alias("b"))
-    ties = ties.union(linked.filter("item <> component").select("item", "component"))
-    groups = linking.components(ties)
-    out = first.select("doc_id", F.col("n").alias("n_shingles")).join(groups.select(F.col("item").alias("doc_id"), "component"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    spark, texts, kind = docs.sparkSession, docs.select("doc_id", "text"), docs.schema["doc_id"].dataType.simpleString()
+    with common.scratch(spark):
+        with common.scratch(spark):
+            first = common.stage(texts.mapInArrow(_prefixes(n_words, percent), f"doc_id {kind}, n long, prefix array<long>"), "prefixes")
+            sizes = common.stage(first.select("doc_id", F.col("n").alias("n_shingles")), "sizes", keep=True)
+            posts = first.filter("doc_id is not null").select("doc_id", "n", F.explode("prefix").alias("token"))
+            several = posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1").select("token")
+            least = lambda n: F.floor((F.lit(percent) * n + 99) / 100)
+            needed = F.floor((F.lit(EXTENSION) * least(least(F.col("n"))) + 99) / 100)
+            near = posts.join(several, "token", "left_semi").groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= needed)
+            near = common.stage(near.select("doc_id").distinct(), "near", keep=True)
+
+        with common.scratch(spark):
+            sets = common.stage(_with_ids(texts, near).mapInArrow(_whole(n_words), f"doc_id {kind}, n long, h1 long, h2 long, tokens array<long>"), "sets")
+            same = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("item"))
+            member = common.stage(sets.filter("n > 0").select("doc_id", "h1", "h2", "n").join(same, ["h1", "h2", "n"]).select("doc_id", "item", "n").distinct(), "classes", keep=True)
+            whole = common.stage(sets.join(same, ["h1", "h2", "n"]).filter("doc_id = item").select("item", "n", "tokens").dropDuplicates(["item", "n"]), "whole", keep=True)
+
+        tokens = whole.select("item", "n", F.explode("tokens").alias("token"))
+        often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        shared = tokens.join(often, "token").groupBy("item", "n").agg(F.collect_list(F.struct("df", "token")).alias("shared"))  # a document's tokens
+        shared = common.stage(shared.filter(F.size("shared") >= least(F.col("n"))), "shared")
+        keys = shared.select("item", "n", "shared").mapInArrow(_signatures(percent), f"key long, item {kind}, rest long")
+        # what bounds a pair's overlap: the size, and the tokens that any other set has
+        about = shared.select("item", (F.col("n") - F.size("shared")).alias("alone"), "n", F.size("shared").alias("shared"))
+        members = keys.join(about, "item").select("key", "item", F.struct("alone", "n", "shared", "rest").alias("about"))
+
+        def able(a: Column, b: Column) -> Column:
+            most = F.least(a["shared"], b["shared"], a["rest"], b["rest"])
+            return 100 * most >= percent * (a["n"] + b["n"] - most)
+
+        def verify(pairs: DataFrame) -> DataFrame:
+            left = whole.select(F.col("item").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a"))
+            right = whole.select(F.col("item").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("of_b"))
+            both = F.size(F.array_intersect("of_a", "of_b"))
+            return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
+
+        linked = linking.link(members, verify, able)
+        # rows that share an id, and copies, belong together even where their sets have no other link
+        ties = member.filter("doc_id <> item").select(F.col("doc_id").alias("a"), F.col("item").alias("b"))
+        ties = ties.union(linked.filter("item <> component").select("item", "component"))
+        groups = linking.components(ties)
+        out = sizes.join(groups.select(F.col("item").alias("doc_id"), "component"), "doc_id", "left")
+        return common.stage(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "classes", keep=True)
 
 
 def keep_one(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without those that belong to a group whose least doc_id is another's; rows that repeat an id stay with it."""
-    gone = classes(docs, n_words, percent).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    with common.scratch(docs.sparkSession):
+        gone = common.stage(classes(docs.select("doc_id", "text"), n_words, percent).filter("component_id < doc_id").select("doc_id").distinct(), "gone", keep=True)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,11 +118,11 @@ def train(labelled: DataFrame, *, per_language: int = SAMPLE_OF_LANGUAGE, total:
             df[row["bin"]] = row["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = common.stage(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "sizes")  # a row a language
     languages = max(sizes.count(), 1)
     bound = min(per_language, max(total // languages, 1))
     order = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000_007))
-    sample = labelled.withColumn("order", order).join(sizes, "lang").filter(F.col("order") < F.lit(1_000_000_007.0) * bound / F.col("_n"))
+    sample = labelled.withColumn("order", order).join(F.broadcast(sizes), "lang").filter(F.col("order") < F.lit(1_000_000_007.0) * bound / F.col("_n"))
     rows = sample.select("lang", "text", "order").groupBy("lang").applyInPandas(_cluster(idf, centroids, OUTSIDE), "lang string, centroid binary, bound double").collect()  # a few rows a language
     rows.sort(key=lambda r: (r["lang"].encode(), r["centroid"]))
     matrix = np.stack([np.frombuffer(r["centroid"], np.float32) for r in rows]) if rows else np.zeros((0, BINS), np.float32)

@@ -70,20 +70,21 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
     sized = own.withColumns({"size": words(F.col("text")), "_key": key}).withColumn("_bin", F.conv(F.substring("_key", 1, BIN_DIGITS), 16, 10).cast("int"))
 
-    bins = common.stage(sized.groupBy("source", "_bin").agg(F.sum("size").alias("bin_size")), "bins")
-    sources = common.stage(cyclic_weights(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights), "sources")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    filled = water_fill(sources, total * share, max_epochs)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
-    filled = filled.withColumn("_whole", whole).withColumn("_rest", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
-
-    upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.withColumn("_before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
-    edge = bins.join(filled.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).filter((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("bin_size")))
-    edge = edge.select(F.col("source").alias("_source"), F.col("_bin").alias("_edge"), F.col("_before").alias("_edge_before"))
-    plan = filled.withColumnRenamed("source", "_source").drop("weight")
-    plan = plan.join(edge.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = common.stage(plan.withColumn("_edge", F.coalesce("_edge", F.lit(16**BIN_DIGITS))), "mix")
+    with common.scratch(own.sparkSession):
+        bins = common.stage(sized.groupBy("source", "_bin").agg(F.sum("size").alias("bin_size")), "bins")
+        sources = common.stage(cyclic_weights(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights), "sources")
+        total = sources.agg(F.sum("source_size")).first()[0] or 0
+        filled = water_fill(sources, total * share, max_epochs)
+        whole = F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
+        filled = filled.withColumn("_whole", whole).withColumn("_rest", F.round("target").cast("long") - F.col("_whole") * F.col("source_size"))
+
+        upto = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        bins = bins.withColumn("_before", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
+        edge = bins.join(filled.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).filter((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("bin_size")))
+        edge = edge.select(F.col("source").alias("_source"), F.col("_bin").alias("_edge"), F.col("_before").alias("_edge_before"))
+        plan = filled.withColumnRenamed("source", "_source").drop("weight")
+        plan = plan.join(edge.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+        plan = common.stage(plan.withColumn("_edge", F.coalesce("_edge", F.lit(16**BIN_DIGITS))), "mix", keep=True)
 
     dealt = sized.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     away = dealt.filter("_bin <> _edge").withColumn("_more", F.when(F.col("_bin") < F.col("_edge"), F.col("size")).otherwise(0))
