@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from windrow.llm import common, decontaminate, digest, fixity, jaccard, language, lines, mixing, personal, pitman_yor, queries, toxicity, words
+from windrow.llm import common, decontaminate, digest, fixity, jaccard, language, lines, mixing, personal, pitman_yor, queries, seating, toxicity, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, n_chars long"
@@ -67,31 +67,107 @@ def test_word_hashes_follow_the_pattern():
     assert h[0] == words.hashed(pa.array(["a"]))[0][0]
 
 
-def test_op1_base_and_probabilities(spark, documents, texts):
+def bigrams(rows):
+    """{context: {word: count}} with None as the end, before a text and after it."""
+    out = {}
+    for _, t in rows:
+        w = [None, *brute.tokens(t), None]
+        for u, x in zip(w, w[1:], strict=False):
+            out.setdefault(u, Counter())[x] += 1
+    return out
+
+
+def code(model, word):
+    h = np.uint64(0) if word is None else words.hashed(pa.array([word]))[0][0]
+    return int(model.head.codes(np.array([h], np.uint64))[0])
+
+
+def test_op1_is_brute_force(spark, documents, texts):
     held = lambda i: crc32(str(i).encode()) % 7 == 2
-    model, counts = pitman_yor.train(documents.filter((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) != 2), dishes=64, head=500)
-    got = {r["doc_id"]: r for r in pitman_yor.score(documents.select("doc_id", "text"), model, counts).collect()}
-    c = Counter(w for i, t in texts if not held(i) for w in [*brute.tokens(t), None])
+    docs = documents.select("doc_id", "text").withColumn("learnt", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7) != 2)
+    model = pitman_yor.train(docs.filter("learnt"), head=500, bucket_tokens=20_000, shards=16)
+    got = {r["doc_id"]: r for r in pitman_yor.score(docs, model, "learnt").collect()}
+    again = {r["doc_id"]: r["score"] for r in pitman_yor.score(docs, model).collect()}
+    learnt = [(i, t) for i, t in texts if not held(i)]
+    c = Counter(w for i, t in learnt for w in [*brute.tokens(t), None])
     n, v = sum(c.values()), len(c)
+    cells = bigrams(learnt)
+    codes = {w: code(model, w) for w in [*c, *(w for _, t in texts for w in brute.tokens(t))]}
+    seats, totals = {}, {}
+    for r in model.seats.collect():
+        totals[r["u"]] = np.array(r["totals"])
+        seats |= {(r["u"], w): m for w, m in zip(r["w"], r["mean"], strict=True)}
+    s, d, d0 = len(model.parents), model.discount, model.root_discount
+
+    def parent(w, k):
+        inside, customers, new = model.tail[k]
+        if codes[w] >= 0:
+            return model.parents[k][codes[w]]
+        known = max(c[w] * inside / model.tail_tokens - d0, 1e-9) / (1 + customers) if c[w] else 0.0
+        return known + new / (v + 1)
+
+    def probability(u, w):
+        own = cells.get(u, Counter())
+        size, x = sum(own.values()), own[w]
+        t = seats[codes[u], codes[w]] if x > 1 else float(x)
+        mass = totals.get(codes[u], np.full(s, sum(k == 1 for k in own.values())))
+        of_parent = lambda k: model.tail_mean(k) if x and codes[w] < 0 else parent(w, k)
+        return np.mean([(x - d * t) / (1 + size) + (1 + d * mass[k]) / (1 + size) * of_parent(k) for k in range(s)])
+
     for i, t in texts:
-        w = [*brute.tokens(t), None]
+        w = [None, *brute.tokens(t), None]
         r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
-        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-        assert r["score"] < 0
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w) - 1, sum(c[x] > 0 for x in w[1:]), n)
+        assert math.isclose(r["base_score"], sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w[1:]), rel_tol=1e-9)
+        want = sum(math.log10(probability(u, x)) for u, x in zip(w, w[1:], strict=False))
+        assert math.isclose(r["score"], want, rel_tol=1e-3, abs_tol=1e-6) and math.isclose(r["score"], again[i], rel_tol=1e-9)
     total = lambda k, ids: sum(got[i][k] for i in ids)
     unseen = [i for i, _ in texts if held(i)]
-    assert total("score", unseen) > total("base_score", unseen)
-    # every context's probabilities of the dishes add up to one
-    p = model.cells + sum(model.new[s][:, None] * model.parent[s][None] for s in range(len(model.new))) / len(model.new)
-    seen = model.cells.sum(axis=1) > 0
-    assert p[seen].sum(axis=1) == pytest.approx(1, abs=1e-4)
+    assert total("score", unseen) > 0.9 * total("base_score", unseen)
+    # the parent's probabilities add up to one over the known words and the unknown, and a context's do
+    everything = [sum(parent(w, k) for w in c) + model.tail[k][2] / (v + 1) for k in range(s)]
+    assert everything == pytest.approx([1] * s, abs=1e-6)
+    for u in [None, *[w for w, _ in c.most_common(3) if w is not None]]:
+        unknown = np.mean([(1 + d * totals[codes[u]][k]) / (1 + sum(cells[u].values())) * model.tail[k][2] / (v + 1) for k in range(s)])
+        assert sum(probability(u, w) for w in c) + unknown == pytest.approx(1, abs=0.02)  # rare words that are seated take the mean of rare words from the parent
+
+
+def test_op1_tables_follow_their_posterior():
+    rng = np.random.default_rng(0)
+
+    def mean_tables(c, d, others, p):
+        logs = np.full((c + 1, c + 2), -np.inf)
+        logs[1, 1] = 0
+        for k in range(1, c):
+            t = np.arange(1, c + 2)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                logs[k + 1, 1:] = np.logaddexp(logs[k, :-1], np.where(k - d * t > 0, logs[k, 1:] + np.log(np.maximum(k - d * t, 1e-300)), -np.inf))
+        w = logs[c, 1 : c + 1] + np.cumsum([math.log(1 + d * (others + k)) + math.log(p) for k in range(c)])
+        w = np.exp(w - w.max())
+        return float((w * np.arange(1, c + 1)).sum() / w.sum())
+
+    for c, d, others, p in ((2, 0.5, 0, 0.3), (20, 0.5, 0, 0.3), (100, 0.7, 2, 0.3), (100, 0.7, 50, 0.01), (200, 0.8, 5, 0.1), (700, 0.6, 30, 0.2), (700, 0.6, 3000, 0.02)):
+        drawn = seating.draw(np.full(20_000, c), np.full(20_000, float(others)), np.full(20_000, p), 1.0, d, rng)
+        assert drawn.mean() == pytest.approx(mean_tables(c, d, others, p), rel=0.02)
+    assert seating._row(4000, 0.6)[:20] == pytest.approx(_further(0.6), rel=1e-3)
+
+
+def _further(d):
+    """Ratios of Stirling numbers for 4,000 customers, carried on from the last exact row."""
+    row, t = seating._row(seating.EXACT, d).copy(), np.arange(1, seating.TABLES + 1)
+    for c in range(seating.EXACT, 4000):
+        row = row * (c - d * t) / (c - d) + np.append(0, row[:-1]) / (c - d)
+    return row[:20]
 
 
 def test_op1_edges(spark):
-    model, counts = pitman_yor.train(nothing(spark), dishes=8, head=10)
-    out = pitman_yor.score(odd(spark), model, counts).collect()
+    model = pitman_yor.train(nothing(spark), head=10)
+    out = pitman_yor.score(odd(spark), model).collect()
     assert len(out) == 10 and all(math.isfinite(r["score"]) for r in out)
+    trained = pitman_yor.score(odd(spark).withColumn("learnt", F.lit(True)), pitman_yor.train(odd(spark), head=10), "learnt")
+    rows = trained.collect()
+    assert len(rows) == 10 and "learnt" in trained.columns and len({r["score"] for r in rows if r["doc_id"] == 4}) == 1
+    assert pitman_yor.score(nothing(spark), model).count() == 0
 
 
 def test_op2_edges(spark):
