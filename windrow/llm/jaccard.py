@@ -165,7 +165,7 @@ def classes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> Da
             both = F.size(F.array_intersect("of_a", "of_b"))
             return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * (F.col("n_a") + F.col("n_b") - both))
 
-        linked = linking.link(members, verify, able)
+        linked = linking.link(common.stage(members, "members"), verify, able)
         # rows that share an id, and copies, belong together even where their sets have no other link
         ties = member.filter("doc_id <> item").select(F.col("doc_id").alias("a"), F.col("item").alias("b"))
         ties = ties.union(linked.filter("item <> component").select("item", "component"))

@@ -80,7 +80,7 @@ def link(
     refine: Callable[[Column, Column], Column] | None = None,
     links: DataFrame | None = None,
 ) -> DataFrame:
-    """(item, component) of the items that have links; members(key, item, about).
+    """(item, component) of the items that have links; members(key, item, about), a staged table.
 
     verify takes pairs(a, b) and returns those that hold; able says from two
     abouts whether a pair can hold at all. Pivots are the first members by
@@ -91,7 +91,7 @@ def link(
     able = able or (lambda _a, _b: F.lit(True))
     with common.scratch(spark):
         labels = None if links is None or links.isEmpty() else components(links)
-        members = common.stage(distinct_groups(common.stage(members, "keyed")), "members")
+        members = common.stage(distinct_groups(members), "members")
         for turn in range(ROUNDS + 1):
             own = members if labels is None else members.join(_small(labels, labels.count()), "item", "left")
             own = own.select("key", "item", "about", (F.col("item") if labels is None else F.coalesce("component", "item")).alias("component"))
