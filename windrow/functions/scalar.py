@@ -14,8 +14,11 @@ def micros(ts: Column) -> Column:
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
-    """A multiplicative hash below 2^32: a seeded order that any engine can repeat. Keys stay below 2^31."""
-    return F.pmod((key + F.lit(seed)) * F.lit(2654435761), F.lit(4294967296))
+    """A multiplicative hash below 2^32: a seeded order that any engine can repeat. Of keys from 2^31 on the upper bits are mixed in."""
+    whole = key.cast("long") + F.lit(seed)
+    low = F.pmod(F.pmod(whole, F.lit(1 << 31)) * F.lit(2654435761), F.lit(1 << 32))
+    high = F.pmod(F.pmod(F.shiftright(whole, 31), F.lit(1 << 31)) * F.lit(2246822519), F.lit(1 << 32))
+    return F.pmod(low + high, F.lit(1 << 32))
 
 
 def clip(x: Column, low: float, high: float) -> Column:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .ranking import running
+from .ranking import quantiles, running, running_by, same
 
 
 def by_score(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
@@ -16,12 +15,11 @@ def by_score(df: DataFrame, score: str, label: str, keys: list[str] | None = Non
 
 
 def curve(df: DataFrame, score: str, label: str, keys: list[str] | None = None) -> DataFrame:
-    """by_score with tp, fp (rows at or above the score) and n_pos, n_neg: with keys a window a group, without a distributed running sum."""
+    """by_score with tp, fp (rows at or above the score) and n_pos, n_neg, of all rows or of those with the same keys."""
     counts = by_score(df, score, label, keys)
     if keys:
-        down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*keys)
-        return counts.withColumns({"tp": F.sum("pos").over(down), "fp": F.sum("neg").over(down), "n_pos": F.sum("pos").over(whole), "n_neg": F.sum("neg").over(whole)})
+        rows = running_by(counts, keys, "score", {"tp": "pos", "fp": "neg"}, descending=True)
+        return rows.withColumnsRenamed({"tp_of": "n_pos", "fp_of": "n_neg"})
     totals = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg"))
     return running(counts, "score", {"tp": "pos", "fp": "neg"}, descending=True).join(F.broadcast(totals))
 
@@ -102,9 +100,9 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def box(df: DataFrame, label: str, value: str) -> DataFrame:
     """(label, q1, median, q3, low, high): whiskers reach to the last values within 1.5 times the quartiles' distance."""
-    quart = df.groupBy(label).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    quart = quantiles(df, [label], value, [0.25, 0.5, 0.75]).withColumnRenamed("q", "_q")
     reach = 1.5 * (F.col("_q")[2] - F.col("_q")[0])
-    inside = df.join(F.broadcast(quart), label).filter(F.col(value).between(F.col("_q")[0] - reach, F.col("_q")[2] + reach))
+    inside = same(df, quart, [label]).filter(F.col(value).between(F.col("_q")[0] - reach, F.col("_q")[2] + reach))
     out = inside.groupBy(label).agg(F.first("_q").alias("_q"), F.min(value).alias("low"), F.max(value).alias("high"))
     return out.select(label, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"), "low", "high")
 

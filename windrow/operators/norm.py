@@ -6,19 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import array_sum, array_variance, scaled
+from .ranking import quantiles, same
 
 
 def group_bounds(train: DataFrame, everything: DataFrame, group: list[str], features: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
     """(group, feature_lo, feature_hi, ...): percentiles of the training rows of each group of everything; a group without any gets the global ones."""
-    own = lambda tag: [F.percentile(f, F.array(F.lit(low), F.lit(high))).alias(f"{tag}{f}") for f in features]
-    grouped, overall = train.groupBy(*group).agg(*own("_g_")), train.agg(*own("_a_"))
-    out = everything.select(*group).distinct().join(grouped, group, "left").join(F.broadcast(overall))
+    out = everything.select(*group).distinct()
+    for f in features:
+        own = quantiles(train, group, f, [low, high]).withColumnRenamed("q", f"_g_{f}")
+        out = same(out, own, group, "left").join(F.broadcast(quantiles(train, [], f, [low, high]).withColumnRenamed("q", f"_a_{f}")), how="left")
     return out.select(*group, *[F.coalesce(f"_g_{f}", f"_a_{f}")[k].alias(f"{f}_{n}") for f in features for k, n in enumerate(("lo", "hi"))])
 
 
 def normalised(df: DataFrame, bounds: DataFrame, group: list[str], features: list[str]) -> DataFrame:
     """df with its features scaled by the bounds of their group; the bounds are a row a group."""
-    out = df.join(F.broadcast(bounds), group)
+    out = same(df, bounds, group)
     return out.withColumns({f: scaled(F.col(f), F.col(f"{f}_lo"), F.col(f"{f}_hi")) for f in features}).drop(*[f"{f}_{n}" for f in features for n in ("lo", "hi")])
 
 
@@ -39,9 +41,9 @@ def blended(df: DataFrame, a: str, b: str, alpha: float = 0.7) -> DataFrame:
 
 def up_to_percentile(df: DataFrame, value: str, p: float = 0.95, keys: list[str] | None = None) -> DataFrame:
     """Rows whose value is at most the percentile of all rows, or of those with the same keys."""
-    bound = F.percentile(value, F.lit(p)).alias("_p")
-    out = df.join(F.broadcast(df.groupBy(*keys).agg(bound)), keys) if keys else df.join(F.broadcast(df.agg(bound)))
-    return out.filter(F.col(value) <= F.col("_p")).drop("_p")
+    bound = quantiles(df, keys or [], value, [p])
+    out = same(df, bound, keys) if keys else df.join(F.broadcast(bound))
+    return out.filter(F.col(value) <= F.col("q")[0]).drop("q")
 
 
 def sanity(df: DataFrame, xs: Column, energy: Column, at: Column, low: float, high: float) -> DataFrame:

@@ -51,12 +51,56 @@ def percentiles(values: DataFrame, by: str, ps: list[float]) -> list[float | Non
     return out
 
 
+def same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b on equal keys, nulls equal nulls; the keys are a's."""
+    right = b.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return a.join(right, met, how).drop(*[f"_same_{k}" for k in keys])
+
+
+def running_by(df: DataFrame, keys: list[str], by: str, sums: dict[str, str], *, descending: bool = False, ranges: int = RANGES) -> DataFrame:
+    """df with running sums (new name -> column) within keys, in order of the numeric column by, and the keys' totals as name_of.
+
+    by must tell the rows of a key apart. A key's values are dealt to ranges by approximate quantiles,
+    so that no task orders a whole key; sums start from the totals of the key's ranges before.
+    """
+    steps = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    bounds = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, steps, F.lit(1000))).alias("_bounds"))
+    placed = same(df, bounds, keys).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= F.col(by)))).drop("_bounds")
+    ranged = F.col("_range").desc() if descending else F.col("_range").asc()
+    own = Window.partitionBy(*keys)
+    before = own.orderBy(ranged).rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.sum(f"_t_{n}").over(own).alias(f"{n}_of") for n in sums])
+    within = Window.partitionBy(*keys, "_range").orderBy(F.col(by).desc() if descending else F.col(by).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = same(placed, totals, [*keys, "_range"])
+    out = out.withColumns({n: F.col(f"_b_{n}") + F.sum(c).over(within) for n, c in sums.items()})
+    return out.drop("_range", *[f"_b_{n}" for n in sums])
+
+
+def quantiles(df: DataFrame, keys: list[str], by: str, ps: list[float]) -> DataFrame:
+    """(keys, q: exact percentiles of by, by linear interpolation): one row without keys. Nulls do not count; a key without values has no row.
+
+    From counts of distinct values in ranges: no task holds all values of a key.
+    """
+    counts = df.filter(F.col(by).isNotNull()).groupBy(*keys, F.col(by).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = running_by(counts, keys, "_v", {"_upto": "_n"})
+    at = [(F.col("_upto_of") - 1) * F.lit(float(p)) for p in ps]
+    hit = lambda k: F.max(F.when((F.col("_upto") - F.col("_n") <= k) & (k < F.col("_upto")), F.col("_v")))
+    picked = [x for i, a in enumerate(at) for x in (hit(F.floor(a)).alias(f"_l{i}"), hit(F.ceil(a)).alias(f"_h{i}"))]
+    out = rows.groupBy(*keys).agg(*picked, F.max("_upto_of").alias("_upto_of"))
+    between = [F.col(f"_l{i}") + (F.col(f"_h{i}") - F.col(f"_l{i}")) * (a - F.floor(a)) for i, a in enumerate(at)]
+    return out.select(*keys, F.array(*between).alias("q"))
+
+
 def histogram(df: DataFrame, value: Column, keys: list[str], bins: int = 60) -> DataFrame:
     """(keys, bin, n, density): equal bins over each group's own range; the last bin is closed. A group of one value has it in bin 0."""
     rows = df.select(*keys, value.cast("double").alias("_v")).filter("_v is not null")
     spans = rows.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count(F.lit(1)).alias("_all"))
     width = (F.col("_high") - F.col("_low")) / bins
     at = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_low")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))).otherwise(0).cast("int")
-    joined = rows.join(F.broadcast(spans), keys)  # a row a class
+    joined = same(rows, spans, keys)
     counts = joined.groupBy(*keys, at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max(width).alias("_w"), F.max("_all").alias("_all"))
     return counts.select(*keys, "bin", "n", (F.col("n") / (F.col("_all") * F.nullif("_w", F.lit(0.0)))).alias("density"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import metrics, ranking
 from .tables import SCORED, scored, table
 
 
@@ -41,7 +41,7 @@ def tpr_at_fpr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def inferred_label_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth inferred as one score above its 95th percentile, tested with another."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", F.col("p_size").cast("double").alias("score"))
-    bound = rows.agg(F.percentile("p_retailprice", F.lit(0.95)).alias("p"))
+    bound = ranking.quantiles(rows, [], "p_retailprice", [0.95]).select(F.col("q")[0].alias("p"))
     rows = rows.join(F.broadcast(bound)).withColumn("truth", (F.col("p_retailprice") > F.col("p")).cast("int"))
     return metrics.auroc(rows, "score", "truth").select("n_pos", "n_neg", F.round("auroc", 8).alias("auroc"))
 
@@ -49,8 +49,9 @@ def inferred_label_auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proxy_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's truths; where fewer than 5 are nominal, scores above the 10th percentile stand for them."""
     rows = scored(spark, sf_dir)
-    facts = rows.groupBy("lang").agg(F.count_if(F.col("truth") == 0).alias("n_nominal"), F.percentile("score", F.lit(0.1)).alias("p10"))
-    rows = rows.join(F.broadcast(facts), "lang").withColumn("proxy", F.when(F.col("n_nominal") < 5, (F.col("score") > F.col("p10")).cast("int")).otherwise(F.col("truth")))
+    facts = rows.groupBy("lang").agg(F.count_if(F.col("truth") == 0).alias("n_nominal"))
+    facts = ranking.same(facts, ranking.quantiles(rows, ["lang"], "score", [0.1]).select("lang", F.col("q")[0].alias("p10")), ["lang"])
+    rows = ranking.same(rows, facts, ["lang"]).withColumn("proxy", F.when(F.col("n_nominal") < 5, (F.col("score") > F.col("p10")).cast("int")).otherwise(F.col("truth")))
     return rows.groupBy("lang").agg(F.sum("proxy").cast("long").alias("n_pos"), F.count(F.lit(1)).alias("n"))
 
 

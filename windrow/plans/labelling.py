@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labels, splits
+from ..operators import labels, ranking, splits
 from .tables import DUR, MIDDLE, TRIG, WIN, triggers, windows
 
 
@@ -42,7 +42,7 @@ def temporal_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def temporal_split_nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = windows(spark, sf_dir)
-    bound = rows.agg(F.percentile("energy", F.lit(0.95)).alias("p95"))
+    bound = ranking.quantiles(rows, [], "energy", [0.95]).select(F.col("q")[0].alias("p95"))
     rows = splits.temporal(rows.join(F.broadcast(bound)), "t0", to_test=F.col("energy") > F.col("p95"))
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("energy") > F.col("p95")).alias("candidates"))
 

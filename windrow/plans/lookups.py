@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import json_number, micros
-from ..operators import joins, splits
+from ..operators import joins, ranking, splits
 from .tables import DUR, SECOND, TRIG, WIN, table, triggers, windows
 
 #: How far a trigger may lie from a window, in microseconds.
@@ -97,7 +97,8 @@ def grid_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decision_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    middle = table(spark, sf_dir, "lineitem").agg(F.median("l_quantity").alias("l_quantity"))
+    middle = table(spark, sf_dir, "lineitem").select("l_quantity")
+    middle = ranking.quantiles(middle, [], "l_quantity", [0.5]).select(F.col("q")[0].alias("l_quantity"))
     axis = lambda c: spark.range(20).select((F.col("id") / 19.0).alias(c))
     return axis("x").join(axis("y")).join(F.broadcast(middle))
 
@@ -112,7 +113,7 @@ def partition_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of one event type in each user's events: where they begin, their middle and length."""
-    rows = table(spark, sf_dir, "events").filter("user_id % 10 = 3").select("user_id", "event_id", "event_type")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     w = Window.partitionBy("user_id").orderBy("event_id")
     rows = rows.withColumns({"rn": F.row_number().over(w).cast("long"), "new": F.coalesce((F.lag("event_type").over(w) != F.col("event_type")).cast("int"), F.lit(1))})
     rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -145,7 +146,7 @@ SELECT ifo, block, trigger_id FROM s QUALIFY row_number() OVER (PARTITION BY ifo
     "decision_grid": "SELECT a.i / 19.0::double AS x, b.i / 19.0::double AS y, (SELECT median(l_quantity) FROM lineitem) AS l_quantity FROM range(20) a(i), range(20) b(i)",
     "partition_grid": """SELECT f.l_returnflag, s.l_linestatus, coalesce(n::varchar, '--') AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem) f CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) s
 LEFT JOIN (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) c ON c.l_returnflag = f.l_returnflag AND c.l_linestatus = s.l_linestatus""",
-    "class_runs": """WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER w AS rn, coalesce((lag(event_type) OVER w <> event_type)::int, 1) AS new FROM events WHERE user_id % 10 = 3 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    "class_runs": """WITH r AS (SELECT user_id, event_id, event_type, row_number() OVER w AS rn, coalesce((lag(event_type) OVER w <> event_type)::int, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id)::bigint AS run FROM r)
 SELECT user_id, run, event_type, min(rn) AS first, (min(rn) + max(rn)) / 2.0::double AS middle, count(*) AS n FROM g GROUP BY 1, 2, 3""",
 }

@@ -25,8 +25,10 @@ def nominal_filter_by_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).groupBy("event_type").agg(F.percentile("value", F.array(*map(F.lit, (0.1, 0.5, 0.9, 0.99)))).alias("p"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return rows.select("event_type", *[F.round(F.col("p")[k], 6).alias(f"p{n}") for k, n in enumerate((10, 50, 90, 99))], "low", "high", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    rows = _events(spark, sf_dir)
+    p = ranking.quantiles(rows, ["event_type"], "value", [0.1, 0.5, 0.9, 0.99])
+    rows = ranking.same(rows.groupBy("event_type").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")), p, ["event_type"])
+    return rows.select("event_type", *[F.round(F.col("q")[k], 6).alias(f"p{n}") for k, n in enumerate((10, 50, 90, 99))], "low", "high", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 def pixel_p1_p99(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +93,7 @@ def class_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tercile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_brand", "p_retailprice")
-    cuts = rows.agg(F.percentile("p_retailprice", F.array(F.lit(0.33), F.lit(0.67))).alias("q"))
+    cuts = ranking.quantiles(rows, [], "p_retailprice", [0.33, 0.67])
     rows = rows.join(F.broadcast(cuts)).withColumn("bin", tercile(F.col("p_retailprice"), F.col("q")[0], F.col("q")[1]))
     return rows.groupBy("p_brand", "bin").agg(F.count(F.lit(1)).alias("n"))
 

@@ -29,7 +29,7 @@ def class_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_nominal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """85/15 of the rows up to the 95th percentile, in seeded order; the rest is test."""
     rows = scored(spark, sf_dir)
-    bound = rows.agg(F.percentile("score", F.lit(0.95)).alias("p"))
+    bound = ranking.quantiles(rows, [], "score", [0.95]).select(F.col("q")[0].alias("p"))
     rows = rows.join(F.broadcast(bound)).withColumn("h", hash_order(F.col("doc_id"), 7) / F.lit(4294967296.0))
     split = F.when(F.col("score") > F.col("p"), "test").when(F.col("h") < 0.85, "train").otherwise("val")
     return rows.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("ids"))
