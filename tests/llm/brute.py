@@ -79,11 +79,16 @@ def line_norm(line):
     return re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", line.lower()).strip(" ")
 
 
-def simhash(norm, bits=63, most=255):
-    hs = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in norm.split(" ")]
-    if len(hs) > most:
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        hs = sorted(set(hs), key=signed)[:most]
+def seeded(number, text):
+    """Spark's xxhash64 of an int and a string."""
+    return xxhash.xxh64(text.encode(), seed=xxhash.xxh64(number.to_bytes(4, "little"), seed=42).intdigest()).intdigest()
+
+
+def simhash(norm, bits=63):
+    hs = []
+    for w in norm.split(" "):
+        half = -(-len(w) // 2)
+        hs += [seeded(1, w)] * 2 if len(w) < 5 else [seeded(1, w[:half]), seeded(2, w[half:])]
     counts = np.array([[h >> k & 1 for k in range(bits)] for h in hs]).sum(axis=0)
     return sum(1 << k for k in range(bits) if counts[k] > len(hs) // 2)
 
@@ -98,7 +103,7 @@ def edits(a, b):
     return row[-1]
 
 
-def line_dedup(docs, distance=2, percent=80):
+def line_dedup(docs, distance=3, percent=80):
     """docs: [(id, text)], ids distinct -> {id: text}."""
     places = defaultdict(list)
     for i, text in sorted(docs, key=lambda d: d[0]):
@@ -107,8 +112,10 @@ def line_dedup(docs, distance=2, percent=80):
                 places[norm].append((i, k))
     norms = sorted(places)
     sims = [simhash(x) for x in norms]
+    words = [set(x.split(" ")) for x in norms]
+    related = lambda a, b: 4 * len(words[a] & words[b]) >= len(words[a]) + len(words[b])
     alike = lambda a, b: edits(a, b) <= max(len(a), len(b)) * (100 - percent) // 100
-    links = [(a, b) for a, b in combinations(range(len(norms)), 2) if (sims[a] ^ sims[b]).bit_count() <= distance and alike(norms[a], norms[b])]
+    links = [(a, b) for a, b in combinations(range(len(norms)), 2) if (sims[a] ^ sims[b]).bit_count() <= distance and related(a, b) and alike(norms[a], norms[b])]
     gone = set()
     members = defaultdict(list)
     for k, g in groups(range(len(norms)), links).items():
