@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ROUNDS = 2
+#: Keys with more open members than this are dealt to finer keys before their members meet.
+REFINED = 32
 #: Edges up to this many are joined in one partition, without exchanges; beyond, they are dealt out.
 ONE_PARTITION = 200_000
 #: Labels up to this many are broadcast to the members.
@@ -106,7 +108,10 @@ def link(
                 if left.isEmpty():
                     break
                 if refine:
-                    left = left.withColumn("key", F.explode(refine(F.col("key"), F.col("about"))))
+                    large = common.stage(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REFINED).select("key"), "large")
+                    large = _small(large, large.count())
+                    finer = left.join(large, "key", "left_semi").withColumn("key", F.explode(refine(F.col("key"), F.col("about"))))
+                    left = left.join(large, "key", "left_anti").union(finer)
                     left = common.stage(left.join(open_keys(left), "key", "left_semi"), "finer")
                 left = common.stage(distinct_groups(left), "left")
                 right = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("item", "about", "component")))
