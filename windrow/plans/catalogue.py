@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classifying, evaluation, labelling, lookups, normalising, sampling
+from . import classifying, evaluation, labelling, lookups, normalising, sampling, strain
 
-MODULES = (labelling, lookups, sampling, normalising, evaluation, classifying)
+MODULES = (labelling, lookups, sampling, normalising, evaluation, classifying, strain)
 
 
 def queries() -> dict:
