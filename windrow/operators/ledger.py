@@ -10,9 +10,52 @@ from pyspark.errors import AnalysisException
 
 from .joins import pending
 
+#: States of a run, fixed values.
 STATES = ("running", "partial", "ready_to_pack", "done", "no_segments", "no_triggers", "no_valid_entries", "sanity_failed")
 
 
+def state(*, segments: int = 1, triggers: int = 1, valid: int = 1, target: int = 0, done: int = 0, packed: bool = False, sane: bool = True) -> str:
+    """What a run is at, from what it has: the first thing that is lacking, else how far it is."""
+    if not segments:
+        return "no_segments"
+    if not triggers:
+        return "no_triggers"
+    if not valid:
+        return "no_valid_entries"
+    if not done:
+        return "running"
+    if done < target:
+        return "partial"
+    if not packed:
+        return "ready_to_pack"
+    return "done" if sane else "sanity_failed"
+
+
+def put(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Write rows over those of the table at path with the same keys: into a version beside it, named by its number, of which the last is read."""
+    spark = rows.sparkSession
+    before = latest(spark, path, rows.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    kept = before.join(rows.select(*keys), keys, "left_anti").select(*rows.columns)
+    numbers = _versions(spark, path)
+    kept.unionByName(rows).write.mode("errorifexists").parquet(f"{path}/v{(numbers[-1] if numbers else 0) + 1}")
+
+
+def latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table that put() last wrote at path, or none of its rows."""
+    numbers = _versions(spark, path)
+    return spark.read.parquet(f"{path}/v{numbers[-1]}") if numbers else spark.createDataFrame([], schema.replace(":", " "))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were written whole."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(where) if files.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+
+
 def read_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at path, or none of its rows where it does not exist yet."""
     try:
@@ -25,11 +68,8 @@ def read_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str, schema: str, draw: Callable[[], DataFrame]) -> DataFrame:
     """The persisted sample; drawn and written at the first call, read ever after."""
-    found = read_or(spark, path, schema)
-    if found.isEmpty():
-        draw().write.mode("errorifexists").parquet(path)
-        found = spark.read.schema(schema).parquet(path)
-    return found
+    draw().write.mode("ignore").parquet(path)  # writes, and draws, only where there is none yet; an empty sample is a sample
+    return spark.read.schema(schema).parquet(path)
 
 
 def run_pending(jobs: DataFrame, key: str, work: Callable[[DataFrame], DataFrame], root: str) -> str:

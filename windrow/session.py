@@ -34,7 +34,8 @@ def ship(spark: SparkSession) -> None:
     """Send the package to the executors once, where they would not find it by their path or working folder."""
     context = spark.sparkContext
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
-    if context.applicationId in _shipped or str(ROOT) in paths or (Path.cwd() / "windrow").exists():
+    near = context.master.startswith("local") and (str(ROOT) in paths or (Path.cwd() / "windrow").exists())  # executors share the driver's machine
+    if context.applicationId in _shipped or near:
         return
     _shipped.add(context.applicationId)
     where = tempfile.mkdtemp(prefix="windrow-")

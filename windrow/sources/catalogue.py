@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +28,64 @@ def number(name: str) -> Column:
     return F.trim(F.col(name)).try_cast("double")
 
 
+def _by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """FIELDS as text, with file and file_order. Files that share a header are read together, each kind by its own."""
+    files = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    heads = files.filter("at = 0").groupBy("file").agg(F.first("value").alias("header")).collect()  # a row a file
+    kinds: dict[str, list[str]] = {}
+    for row in sorted(heads, key=lambda r: r["file"]):
+        kinds.setdefault(row["header"], []).append(row["file"])
+    parts = []
+    for names in kinds.values():
+        raw = spark.read.option("header", True).csv(names).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_place"))
+        lacking = [F.lit(None).cast("string").alias(f) for f in FIELDS if f not in raw.columns]
+        parts.append(raw.select(*[F.col(f"`{f}`").cast("string").alias(f) for f in FIELDS if f in raw.columns], *lacking, "file", "_place").select(*FIELDS, "file", "_place"))
+    if not parts:
+        return spark.createDataFrame([], ", ".join(f"{f} string" for f in FIELDS) + ", file string, file_order struct<file: string, place: long>")
+    return reduce(DataFrame.unionByName, parts).withColumn("file_order", F.struct("file", F.col("_place").alias("place"))).drop("_place")
+
+
+def read_files(spark: SparkSession, folder: str, partitions: list[tuple[str, str]], pattern: str = "{ifo}_{epoch}.csv", *, label: str = "ml_label") -> tuple[DataFrame, list[str]]:
+    """(triggers of one file for each (ifo, epoch), with epoch; the names of files that are absent, which count as empty)."""
+    parts, absent = [], []
+    for ifo, epoch in partitions:
+        name = pattern.format(ifo=ifo, epoch=epoch)
+        try:
+            parts.append(read_catalogue(spark, f"{folder}/{name}", label=label).withColumns({"ifo": F.coalesce("ifo", F.lit(ifo)), "epoch": F.lit(epoch)}))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            absent.append(name)
+    none = read_none(spark)
+    return reduce(DataFrame.unionByName, parts, none), absent
+
+
+def read_none(spark: SparkSession) -> DataFrame:
+    """A catalogue without rows."""
+    numbers = ", ".join(f"{c} double" for c in NUMBERS)
+    return spark.createDataFrame([], f"ifo string, t double, label string, ml_confidence double, {numbers}, gravityspy_id string, file string, file_order struct<file: string, place: long>, epoch string")
+
+
+def first_match(spark: SparkSession, folder: str, patterns: tuple[str, ...]) -> DataFrame | None:
+    """The Parquet files of the first pattern that matches any in folder; None where none does."""
+    for pattern in patterns:
+        try:
+            return spark.read.option("pathGlobFilter", pattern).parquet(folder)
+        except AnalysisException as error:
+            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    return None
+
+
 def read_catalogue(spark: SparkSession, path: str | list[str], *, label: str = "ml_label") -> DataFrame:
     """Typed triggers: t (seconds), label, ml_confidence, the numeric fields, with file and its order of rows.
 
-    Time is peak_time and its nanoseconds, else event_time. Malformed times and confidences are null,
-    malformed numbers 0. A column that a file lacks is null.
+    Time is peak_time and its nanoseconds, else event_time; a peak_time whose nanoseconds are malformed
+    counts as whole seconds. Malformed times and confidences are null, malformed numbers 0. Each file is read
+    by its own header, whatever its order of columns; a column that it lacks is null. file_order follows
+    the names of files and the rows in them.
     """
-    raw = spark.read.option("header", True).csv(path)
-    for field in FIELDS:
-        if field not in raw.columns:
-            raw = raw.withColumn(field, F.lit(None).cast("string"))
+    raw = _by_header(spark, path)
     t = F.coalesce(number("peak_time") + F.coalesce(number("peak_time_ns"), F.lit(0.0)) * 1e-9, number("event_time"))
     return raw.select(
         F.trim("ifo").alias("ifo"),
@@ -44,8 +94,8 @@ def read_catalogue(spark: SparkSession, path: str | list[str], *, label: str = "
         number("ml_confidence").alias("ml_confidence"),
         *[F.coalesce(number(c), F.lit(0.0)).alias(c) for c in NUMBERS],
         F.col("gravityspy_id"),
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("file_order"),
+        "file",
+        "file_order",
     )
 
 
