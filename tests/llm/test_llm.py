@@ -183,13 +183,21 @@ def test_op2_edges(spark):
 
 
 def test_op3_finds_the_harmed_and_the_missing(spark):
-    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(250)] + [(None, None, None)], "page_id long, url string, html string")
-    replica = pages.withColumn("html", F.when(F.col("page_id").isin(3, 140), F.lit("?")).otherwise(F.col("html")))
-    bad = fixity.check_replica(pages, replica).filter("corrupt").collect()
-    # a changed length moves the ranges of all that follow in its file
-    assert {3, 140} <= {r["page_id"] for r in bad} and all(r["page_id"] // 100 in (0, 1) for r in bad)
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i}</p>") for i in range(250)] + [(None, None, None), (7, "u7", "<p>7</p>"), (7, "u7", "<p>7</p>"), (9, "u9", "x" * 300_000)], "page_id long, url string, html string").withColumn("file", F.lit("x"))
+    replica = pages.withColumn("html", F.when(F.col("page_id") == 3, F.lit("?")).when(F.col("page_id") == 140, F.concat("html", F.lit("longer"))).otherwise(F.col("html"))).filter("coalesce(page_id, -1) <> 200")
+    replica = replica.union(spark.createDataFrame([(900, "u", "new", "x")], replica.schema))
+    out = fixity.check_replica(pages, replica)
+    assert {r["page_id"] for r in out.filter("corrupt").collect()} == {3, 140, 200, 900} and out.count() == 255
+    fewer = fixity.check_replica(pages, pages.dropDuplicates(["page_id", "html"]))
+    assert [(r["page_id"], r["corrupt"]) for r in fewer.filter("page_id = 7").orderBy("number").collect()] == [(7, False), (7, True), (7, True)] and fewer.filter("corrupt").count() == 2
     same = fixity.check_replica(pages, pages)
-    assert same.count() == 251 and same.filter("corrupt").isEmpty()
+    assert same.count() == 254 and same.filter("corrupt").isEmpty()
+    for r in same.groupBy("file").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("number").alias("k"), F.count(F.lit(1)).alias("c")).collect():
+        assert r["n"] == r["end"] and r["k"] == r["c"]
+    assert fixity.check_replica(pages.limit(0), pages.limit(0)).count() == 0
+    a, b = (fixity.tree(common.stage(fixity.archive(p), "archive")) for p in (pages, replica))
+    bad, compared = fixity.audit(a, b)
+    assert compared[0] <= 6 and max(compared[1:]) <= 60 < a.filter("level = 0").count() and bad.count() == 6
 
 
 def test_op4_is_unicodes(spark):
@@ -213,6 +221,35 @@ def test_op4_edits(spark, documents, texts):
     assert len(set(alike.values())) == len(alike)
 
 
+def test_op4_edges(spark):
+    clashing = odd(spark).withColumns({"digest": F.lit("mine"), "canon": F.lit(1), "place": F.lit(2), "fingerprint": F.lit(3)})
+    out = digest.fingerprints(clashing).collect()
+    by = {}
+    for r in out:
+        by.setdefault(brute.canonical(r["text"]), set()).add(r["fingerprint"])
+    assert len(out) == 10 and all(len(x) == 1 for x in by.values()) and len(set.union(*by.values())) == len(by)
+    assert {(r["canon"], r["place"]) for r in out} == {(1, 2)} and "mine" not in {r["digest"] for r in out}
+    assert digest.edited(odd(spark).select("doc_id", "text")).count() == 10
+    assert digest.edited(nothing(spark).select("doc_id", "text")).count() == 0
+
+
+def test_op4_compares_bytes_in_equal_buckets(spark, monkeypatch):
+    monkeypatch.setattr(digest, "wide_hash", lambda canon: F.lpad((F.length(canon) % 2).cast("string"), 32, "0"))
+    rows = [(1, "a"), (2, "A"), (3, "bbb"), (4, "bb"), (5, "c")]
+    got = {r["doc_id"]: r["fingerprint"] for r in digest.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] and len(set(got.values())) == 4
+
+
+def test_ids_of_any_type(spark):
+    df = odd(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.classes(df).collect()}
+    assert got["d5"] == got["d4"] == "d4" and got["d7"] == "d6"
+    labels = spark.createDataFrame([("d4", 1), ("d6", 0)], "doc_id string, toxic int")
+    assert toxicity.severity(df, labels).count() == 10
+    small = spark.createDataFrame([(1, "one two three four five"), (2, "one two three four five")], "doc_id int, text string")
+    assert {r["component_id"] for r in jaccard.classes(small).collect()} == {1}
+
+
 def test_op5_edges(spark):
     got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in jaccard.classes(odd(spark)).collect())
     rows = [(r["doc_id"], r["text"]) for r in odd(spark).collect()]

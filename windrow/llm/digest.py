@@ -129,14 +129,16 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     Two rows have the same fingerprint exactly if their canonical texts are the
     same bytes. Null text counts as empty; repeated rows and null ids are kept;
-    other columns pass through; an empty table gives none.
+    other columns pass through, but columns named digest or fingerprint are replaced; an empty table gives none.
     """
-    hashed = docs.withColumn("digest", digest(F.col("text")))
-    places = unequal_buckets(docs, hashed)
+    hashed = docs.drop("fingerprint").withColumn("digest", digest(F.col("text")))
+    places = common.stage(unequal_buckets(docs.select("text"), hashed.select("digest")), "places")
     if places.isEmpty():
         return hashed.withColumn("fingerprint", F.col("digest"))
-    out = hashed.withColumn("canon", canonical(F.coalesce("text", F.lit("")))).join(places, ["digest", "canon"], "left").drop("canon")
-    return out.withColumn("fingerprint", F.when(F.coalesce("place", F.lit(0)) > 0, F.concat_ws("-", "digest", "place")).otherwise(F.col("digest"))).drop("place")
+    places = places.withColumnsRenamed({"digest": "_windrow_digest", "canon": "_windrow_canon", "place": "_windrow_place"})
+    met = (F.col("digest") == F.col("_windrow_digest")) & (canonical(F.coalesce("text", F.lit(""))) == F.col("_windrow_canon"))
+    out = hashed.join(places, met, "left").drop("_windrow_digest", "_windrow_canon")
+    return out.withColumn("fingerprint", F.when(F.coalesce("_windrow_place", F.lit(0)) > 0, F.concat_ws("-", "digest", "_windrow_place")).otherwise(F.col("digest"))).drop("_windrow_place")
 
 
 def successors(docs: DataFrame) -> DataFrame:

@@ -1,12 +1,16 @@
 """WARC fixity audit by Merkle trees.
 
-Records of a file, in order of their offsets, are leaves; FANOUT neighbours make
-a node that covers their range of bytes. Two replicas compare the roots of their
-files and then, level by level, only the children of nodes that differ.
+Records of a file, in order of their offsets, fall into leaves by page and a part of their digest, so that a
+record that is lost or has another length moves no other's leaf. FANOUT neighbours make
+a node that covers their range of bytes; all trees are of one depth. Two replicas compare the roots of their
+files and then, level by level, only the children of nodes that differ; of
+leaves that differ the records are compared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +20,10 @@ from . import common
 FANOUT = 16
 #: Ids of pages that share a file.
 PAGES_IN_FILE = 100
+#: Files that pages without an id are dealt to, by digest, and parts of a page's records, by digest: no task orders more than a part.
+NULL_FILES, PARTS = 1024, 256
+#: Levels over the leaves: FANOUT to this power is over PAGES_IN_FILE * PARTS.
+LEVELS = 4
 
 
 def record(url: Column, body: Column) -> Column:
@@ -26,64 +34,86 @@ def record(url: Column, body: Column) -> Column:
 
 
 def archive(pages: DataFrame) -> DataFrame:
-    """(file, number, page_id, offset, length, digest) of pages(page_id, url, html), in order of page_id, then content.
+    """(file, leaf, page_id, offset, number, length, digest, copies) of pages(page_id, url, html): a row for equal records of a page, which lie one after another.
 
-    Null urls and bodies are empty; null page_ids share a file of their own;
-    repeated rows are separate records. A file's records are ordered in one task: a file
-    is bounded by PAGES_IN_FILE ids.
+    In order of page_id, then content; number and offset are those of the first copy. Null urls and bodies are
+    empty. Pages without an id are dealt to files of their own by content. Other columns are left out.
     """
     text = record(F.col("url"), F.col("html"))
-    rows = pages.select("page_id", F.coalesce(F.floor(F.col("page_id") / PAGES_IN_FILE), F.lit(-1)).cast("long").alias("file"), F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"))
-    order = Window.partitionBy("file").orderBy("page_id", "digest")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("number"), "page_id", before.cast("long").alias("offset"), "length", "digest")
-
-
-def tree(records: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, int]:
-    """((file, level, number, first, last, hash), levels) of records(file, number, offset, length, digest).
-
-    Level 0 are the leaves; the top level has one node a file. A leaf's hash
-    covers its range and its digest, a node's the hashes of its children in order.
+    rows = pages.select("page_id", F.octet_length(text).cast("long").alias("length"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    spread = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "digest"), F.lit(n))
+    file = F.coalesce(F.floor(F.col("page_id") / PAGES_IN_FILE), -1 - spread(NULL_FILES, 1)).cast("long")
+    slot = F.coalesce(F.pmod("page_id", F.lit(PAGES_IN_FILE)), spread(PAGES_IN_FILE, 2)).cast("long")
+    part = F.conv(F.substring("digest", 1, 2), 16, 10).cast("long")
+    rows = rows.groupBy("page_id", "length", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.select(file.alias("file"), (slot * PARTS + part).alias("leaf"), "page_id", "length", "digest", "copies")
+    totals = rows.groupBy("file", "leaf").agg(F.sum(F.col("length") * F.col("copies")).alias("_bytes"), F.sum("copies").alias("_n"))
+    before = Window.partitionBy("file").orderBy("leaf").rowsBetween(Window.unboundedPreceding, -1)  # PAGES_IN_FILE * PARTS rows at most
+    totals = totals.select(F.col("file").alias("_f"), F.col("leaf").alias("_l"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_bytes", "_n")])
+    upto = Window.partitionBy("file", "leaf").orderBy("page_id", "digest", "length").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.join(totals, (F.col("file") == F.col("_f")) & (F.col("leaf") == F.col("_l")))
+    own = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    return rows.select("file", "leaf", "page_id", (F.col("_bytes") + own(F.col("length") * F.col("copies"))).cast("long").alias("offset"), (F.col("_n") + own(F.col("copies"))).cast("long").alias("number"), "length", "digest", "copies")
+
+
+def tree(records: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> DataFrame:
+    """(file, level, number, first, last, hash) of archive() records; level 0 are the leaves, the top level has one node a file.
+
+    A leaf's hash covers its records' digests, lengths and copies, not where they lie; a node's the numbers and hashes of its children in order.
     """
-    leaf = F.sha2(F.concat_ws(":", "offset", "length", "digest"), 256)
-    level = common.stage(records.select("file", F.lit(0).alias("level"), "number", F.col("offset").alias("first"), (F.col("offset") + F.col("length")).alias("last"), leaf.alias("hash")), "leaves")
-    nodes, depth = level, 0
-    most = level.agg(F.max("number")).first()[0] or 0
-    while most:
-        depth, most = depth + 1, most // fanout
-        children = F.transform(F.sort_array(F.collect_list(F.struct("number", "hash"))), lambda c: c["hash"])  # fanout at most
-        up = level.groupBy("file", F.floor(F.col("number") / fanout).alias("number")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(children, ""), 256).alias("hash"))
-        level = common.stage(up.select("file", F.lit(depth).alias("level"), "number", "first", "last", "hash"), f"level{depth}")
+    mark = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "digest", "length", "copies", "page_id"))
+    covers = F.concat_ws(":", F.count(F.lit(1)), F.min("digest"), F.max("digest"), F.sum("length"), F.sum("copies"), mark(1), mark(2))
+    leaves = records.groupBy("file", F.col("leaf").alias("number")).agg(F.min("offset").alias("first"), F.max(F.col("offset") + F.col("length") * F.col("copies")).alias("last"), F.sha2(covers, 256).alias("hash"))
+    level = common.stage(leaves.select("file", F.lit(0).alias("level"), "number", "first", "last", "hash"), "leaves", keep=True)
+    nodes = level
+    for depth in range(1, levels + 1):
+        children = F.transform(F.sort_array(F.collect_list(F.struct("number", "hash"))), lambda c: F.concat_ws(":", c["number"].cast("string"), c["hash"]))  # fanout at most
+        up = level.groupBy("file", F.floor(F.col("number") / fanout).alias("number")).agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sha2(F.array_join(children, ","), 256).alias("hash"))
+        level = common.stage(up.select("file", F.lit(depth).alias("level"), "number", "first", "last", "hash"), f"level{depth}", keep=True)
         nodes = nodes.unionByName(level)
-    return nodes, depth + 1
+    return nodes
 
 
-def audit(ours: DataFrame, theirs: DataFrame, levels: int, fanout: int = FANOUT) -> tuple[DataFrame, list[int]]:
-    """((file, number, first, last) of leaves that differ or exist on one side, nodes compared at each level from the roots down)."""
+def audit(ours: DataFrame, theirs: DataFrame, fanout: int = FANOUT, levels: int = LEVELS) -> tuple[DataFrame, list[int]]:
+    """((file, leaf, first, last) of leaves that differ or exist on one side, staged; nodes compared at each level from the roots down)."""
     compared, open_nodes = [], None
-    for level in range(levels - 1, -1, -1):
+    for level in range(levels, -1, -1):
         sides = []
         for nodes, side in ((ours, "a"), (theirs, "b")):
             part = nodes.filter(F.col("level") == level)
             if open_nodes is not None:
                 part = part.withColumn("parent", F.floor(F.col("number") / fanout)).join(open_nodes, ["file", "parent"], "left_semi")
             sides.append(part.select("file", "number", F.col("first").alias(f"first_{side}"), F.col("last").alias(f"last_{side}"), F.col("hash").alias(side)))
-        met = common.stage(sides[0].join(sides[1], ["file", "number"], "full"), f"met{level}")
+        met = common.stage(sides[0].join(sides[1], ["file", "number"], "full"), f"met{level}", keep=not level)
         compared.append(met.count())
         bad = met.filter(~F.col("a").eqNullSafe(F.col("b")))
         open_nodes = bad.select("file", F.col("number").alias("parent"))
-    return bad.select("file", "number", F.coalesce("first_a", "first_b").alias("first"), F.coalesce("last_a", "last_b").alias("last")), compared
+    return bad.select("file", F.col("number").alias("leaf"), F.coalesce("first_a", "first_b").alias("first"), F.coalesce("last_a", "last_b").alias("last")), compared
 
 
 def check_replica(pages: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """archive(pages) with corrupt: whether the record differs from the replica's at its place. Records that only the replica has follow, without page_id."""
-    ours = common.stage(archive(pages), "ours")
-    theirs = common.stage(archive(replica), "theirs")
-    (a, depth_a), (b, depth_b) = tree(ours, fanout), tree(theirs, fanout)
-    bad, _ = audit(a, b, max(depth_a, depth_b), fanout) if depth_a == depth_b else audit(a, b, 1, fanout)  # trees of unequal depth share leaves only
-    bad = bad.select("file", "number", "first", "last", F.lit(True).alias("bad"))
-    out = ours.join(bad, ["file", "number"], "full")
-    return out.select("page_id", "file", "number", F.coalesce("offset", "first").alias("offset"), F.coalesce(F.col("length"), F.col("last") - F.col("first")).alias("length"), "digest", F.coalesce("bad", F.lit(False)).alias("corrupt"))
+    """(page_id, file, number, offset, length, digest, corrupt): the records of pages, corrupt where the replica lacks them; of copies that it lacks some of, the last.
+
+    Records of pages that only the replica has follow, corrupt, with their place there. Pages without an id are told
+    apart by content alone: a changed one is corrupt here and follows from there.
+    """
+    spark = pages.sparkSession
+    with common.scratch(spark):
+        ours, theirs = (common.stage(archive(p), n) for p, n in ((pages, "ours"), (replica, "theirs")))
+        bad, _ = audit(tree(ours, fanout), tree(theirs, fanout), fanout)
+        content = ["file", "leaf", "page_id", "length", "digest"]
+        in_bad = lambda records, n, *more: records.join(bad.select("file", "leaf"), ["file", "leaf"], "left_semi").select(*[F.col(c).alias(f"{n}_{c}") for c in (*content, "copies", *more)])
+        equal = lambda a, b: reduce(lambda x, y: x & y, [F.col(f"{a}{c}").eqNullSafe(F.col(f"{b}{c}")) for c in content])
+        a, b = in_bad(ours, "a"), in_bad(theirs, "b", "offset", "number")
+        lacking = a.join(b, equal("a_", "b_"), "left").filter(F.coalesce("b_copies", F.lit(0)) < F.col("a_copies")).select(*[c for c in a.columns if c != "a_copies"], F.coalesce("b_copies", F.lit(0)).alias("_there"))
+        lacking = common.stage(lacking, "lacking")
+        known = ours.join(lacking, equal("", "a_"), "left").withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        place = lambda n: [(F.col(f"{n}number") + F.col("_copy")).alias("number"), (F.col(f"{n}offset") + F.col("_copy") * F.col(f"{n}length")).alias("offset")]
+        out = known.select("page_id", "file", *place(""), "length", "digest", (F.col("_copy") >= F.coalesce("_there", F.col("copies"))).alias("corrupt"))
+        extra = b.join(a, equal("a_", "b_"), "left_anti").join(ours.select(F.col("page_id").alias("_p")).distinct(), F.col("b_page_id") == F.col("_p"), "left_anti")
+        extra = extra.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b_copies") - 1)))
+        extra = extra.select(F.col("b_page_id").alias("page_id"), F.col("b_file").alias("file"), *place("b_"), F.col("b_length").alias("length"), F.col("b_digest").alias("digest"), F.lit(True).alias("corrupt"))
+        return common.stage(out.union(extra), "audited", keep=True)
 
 
 def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

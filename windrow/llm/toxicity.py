@@ -111,7 +111,7 @@ def train(labelled: DataFrame, *, n_grades: int = GRADES, sample: int = SAMPLE,
     sizes = {r["grade"]: r["n"] for r in labelled.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a grade
     rate = F.coalesce(*[F.when(F.col("grade") == g, F.lit(sample / len(sizes) / n)) for g, n in sorted(sizes.items())], F.lit(0.0)) if sizes else F.lit(0.0)
     spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    rows = labelled.filter(spread < rate).mapInArrow(_features, "doc_id long, grade int, features array<long>")
+    rows = labelled.filter(spread < rate).mapInArrow(_features, f"doc_id {labelled.schema['doc_id'].dataType.simpleString()}, grade int, features array<long>")
 
     def one(frame):
         import pandas as pd
