@@ -272,6 +272,20 @@ def test_op6_learns_toxicity(spark):
     assert none.count() == 10 and none.filter("toxic").isEmpty()
 
 
+def test_op6_held_out(spark):
+    """Against the 0/1 labels, on labelled documents that were not learnt from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic").filter("doc_id < 4000")
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    graded = toxicity.severity(docs, labels.filter("doc_id % 4 <> 0")).filter("doc_id % 4 = 0")
+    rows = graded.select("doc_id", F.col("toxic").alias("said"), "severity").join(labels, "doc_id").collect()
+    bad, good = ([r for r in rows if r["toxic"] == k] for k in (1, 0))
+    caught, blamed = (float(np.mean([r["said"] for r in x])) for x in (bad, good))
+    assert len(bad) > 20 and caught > 0.75 and blamed < 0.05, (caught, blamed)
+    assert np.mean([r["severity"] for r in bad]) > 3 * np.mean([r["severity"] for r in good])
+    print("held out:", caught, blamed, float(np.mean([r["severity"] for r in bad])), float(np.mean([r["severity"] for r in good])))
+
+
 def test_op7_edges(spark):
     rows = odd(spark).withColumn("source", F.when(F.col("doc_id") > 5, "b").when(F.col("doc_id") > 2, "a"))
     out = mixing.mix(rows)
@@ -327,6 +341,19 @@ def test_op10_is_brute_force(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_pipeline_edges(spark):
+    """Null, empty and long texts, repeated rows, a null id, other columns and no rows go through every stage but the last as they came, those that a stage drops aside."""
+    docs = odd(spark).withColumn("lang", F.lit(None).cast("string"))
+    for stage_docs in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, stage_docs, SF)
+            assert name == "mixing" or out.columns == docs.columns
+            n = out.count()
+            assert n == 0 if stage_docs is not docs else n >= 6
+            if stage_docs is docs:
+                assert out.filter("doc_id = 1 and text is null").count() == 1 and out.filter("doc_id is null").count() == 1
+
+
 def test_pipeline_stages(spark, documents, texts, benchmark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing"]
     docs, kept = documents, None
