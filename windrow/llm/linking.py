@@ -79,15 +79,17 @@ def link(
     members: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     able: Callable[[Column, Column], Column] | None = None,
-    refine: Callable[[Column, Column], Column] | None = None,
     links: DataFrame | None = None,
+    refine: Callable[[Column, Column], Column] | None = None,
+    once: Callable[[Column, Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """(item, component) of the items that have links; members(key, item, about), a staged table.
 
     verify takes pairs(a, b) and returns those that hold; able says from two
     abouts whether a pair can hold at all. Pivots are the first members by
-    about, then the last. refine gives finer keys of a member from its key and about, such that members that
-    can hold share one. links(a, b): links that are known from the start.
+    about, then the last. links(a, b): links that are known from the start. refine gives finer keys (key, part) of a
+    member from its key and about, such that members that can hold share one; with it goes once, which says from a key, its part
+    (null if not refined) and two abouts whether the pair is met here, of all keys that it shares. Where keys with the same members are one, the least stands for them.
     """
     spark = members.sparkSession
     able = able or (lambda _a, _b: F.lit(True))
@@ -107,16 +109,20 @@ def link(
                 left = common.stage(own.join(open_keys(own), "key", "left_semi"), "open")
                 if left.isEmpty():
                     break
+                met_here = F.lit(True)
+                left = left.withColumns({"base": F.col("key"), "part": F.lit(None).cast("int")})
                 if refine:
                     large = common.stage(left.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > REFINED).select("key"), "large")
                     large = _small(large, large.count())
-                    finer = left.join(large, "key", "left_semi").withColumn("key", F.explode(refine(F.col("key"), F.col("about"))))
-                    left = left.join(large, "key", "left_anti").union(finer)
+                    finer = left.join(large, "key", "left_semi").drop("part").withColumn("finer", F.explode(refine(F.col("key"), F.col("about"))))
+                    finer = finer.select(F.col("finer.key").alias("key"), "item", "about", "component", "base", F.col("finer.part").alias("part"))
+                    left = left.join(large, "key", "left_anti").unionByName(finer)
                     left = common.stage(left.join(open_keys(left), "key", "left_semi"), "finer")
-                left = common.stage(distinct_groups(left), "left")
-                right = left.select("key", *(F.col(c).alias(f"_{c}") for c in ("item", "about", "component")))
-                pairs = left.join(right, (left["key"] == right["key"]) & (F.col("item") < F.col("_item")) & (F.col("component") != F.col("_component")) & able(F.col("about"), F.col("_about")))
-                pairs = pairs.select(F.col("item").alias("a"), F.col("_item").alias("b")).distinct()
+                    met_here = once(F.col("base"), F.col("part"), F.col("about"), F.col("_about"))
+                right = left.select(F.col("key").alias("_key"), *(F.col(c).alias(f"_{c}") for c in ("item", "about", "component")))
+                able_here = F.when((F.col("item") < F.col("_item")) & (F.col("component") != F.col("_component")), F.when(able(F.col("about"), F.col("_about")), met_here))
+                pairs = left.join(right, (F.col("key") == F.col("_key")) & able_here).select(F.col("item").alias("a"), F.col("_item").alias("b"))
+                pairs = pairs if refine else pairs.distinct()
             found = common.stage(verify(pairs).select("a", "b"), "found")
             if not found.isEmpty():
                 labels = merged(labels, found)
