@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, digest, fixity, jaccard, language, lines, mixing, personal, pitman_yor, toxicity
+from . import decontaminate, digest, fixity, jaccard, language, lines, mixing, neighbours, personal, pitman_yor, runs, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_personal_data": personal.op8_personal_data,
         "op9_language": language.op9_language,
         "op10_line_dedup": lines.op10_line_dedup,
+        "op11_whitening": whitening.op11_whitening,
+        "op12_nearest_neighbours": neighbours.op12_nearest_neighbours,
+        "op13_periodic_runs": runs.op13_periodic_runs,
     }
 
 
