@@ -40,10 +40,6 @@ def hierarchical_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("predicted").agg(F.count(F.lit(1)).alias("n"))
 
 
-def rule_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fuzzy.explain(spark, FEATURES, RULES, CLASSES).drop("conditions")
-
-
 def rule_strengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.mean_strengths(_points(spark, sf_dir), FEATURES, RULES).limit(2).select("rule_id", F.round("strength", 6).alias("strength"))
 
@@ -80,7 +76,7 @@ def fixed_terciles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _points(spark, sf_dir).groupBy(tercile(F.col("x"), F.lit(0.33), F.lit(0.67)).alias("level")).agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (fuzzy_firing, fuzzy_predict, hierarchical_predict, rule_text, rule_strengths, cluster_potentials, subtractive_centres, consequents, pca_explained, reconstruction_scores, fixed_terciles)}
+QUERIES = {f.__name__: f for f in (fuzzy_firing, fuzzy_predict, hierarchical_predict, rule_strengths, cluster_potentials, subtractive_centres, consequents, pca_explained, reconstruction_scores, fixed_terciles)}
 
 
 def _sql(rules: list[Rule], divisor: str) -> str:
@@ -100,7 +96,6 @@ ORACLES = {
     "fuzzy_firing": f"SELECT l_returnflag, round(avg(w0), 6) AS w0, round(avg(w1), 6) AS w1, round(avg(w2), 6) AS w2 FROM ({_sql(RULES, _ADD)}) GROUP BY 1",
     "fuzzy_predict": f"SELECT l_returnflag, ({_ARGMAX})::int AS predicted, count(*) AS n, round(avg(y0), 6) AS y0, round(avg(y1), 6) AS y1, round(avg(y2), 6) AS y2 FROM ({_sql(RULES, _FLOOR)}) GROUP BY 1, 2",
     "hierarchical_predict": f"SELECT (CASE WHEN a.y1 > a.y0 THEN 0 ELSE 1 + b.p END)::int AS predicted, count(*) AS n FROM (SELECT x, y, any_value(y0) AS y0, any_value(y1) AS y1, count(*) AS c FROM ({_sql(FIRST, _ADD)}) GROUP BY 1, 2) a JOIN (SELECT x, y, {_ARGMAX} AS p FROM ({_sql(RULES, _ADD)})) b ON a.x = b.x AND a.y = b.y GROUP BY 1",
-    "rule_text": "SELECT * FROM (VALUES (0::int, 'Loud', 'IF x IS low AND y IS low THEN Loud'), (1::int, 'Burst', 'IF x IS medium AND y IS medium THEN Burst'), (2::int, 'Scatter', 'IF x IS high AND y IS high THEN Scatter')) t(rule_id, output, text)",
     "rule_strengths": f"WITH m AS (SELECT avg(w0) AS a, avg(w1) AS b, avg(w2) AS c FROM ({_sql(RULES, _ADD)})) SELECT rule_id::int AS rule_id, round(s, 6) AS strength FROM (SELECT 0 AS rule_id, a AS s FROM m UNION ALL SELECT 1, b FROM m UNION ALL SELECT 2, c FROM m) ORDER BY s DESC, rule_id LIMIT 2",
     "cluster_potentials": "WITH p AS (SELECT s_suppkey AS id, s_acctbal / 10000 AS x, s_nationkey / 25.0::double AS y FROM supplier) SELECT a.id, round(sum(exp(-((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) / (0.15::double * 0.15::double))), 6) AS potential FROM p a, p b GROUP BY 1",
     "fixed_terciles": "SELECT CASE WHEN l_quantity / 50 <= 0.33::double THEN 'low' WHEN l_quantity / 50 <= 0.67::double THEN 'medium' ELSE 'high' END AS level, count(*) AS n FROM lineitem GROUP BY 1",

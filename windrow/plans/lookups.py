@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -92,8 +90,12 @@ def densest_blocks_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_centers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = [spark.range(3).select((F.col("id") / 2.0).alias(f"c{k}")) for k in range(3)]
-    return reduce(lambda a, b: a.join(b), levels)  # levels to the power of features
+    """Centres of three levels a feature over the spans of the data: levels to the power of features, as numbers taken apart."""
+    features, levels = ("l_quantity", "l_discount", "l_tax"), 3
+    spans = table(spark, sf_dir, "lineitem").agg(*[f(c).alias(f"{n}_{c}") for c in features for n, f in (("low", F.min), ("high", F.max))])
+    places = spark.range(levels ** len(features)).join(F.broadcast(spans))  # one row of spans
+    level = lambda k: F.floor(F.col("id") / levels**k) % levels / (levels - 1.0)
+    return places.select(*[F.round(F.col(f"low_{c}") + level(k) * (F.col(f"high_{c}") - F.col(f"low_{c}")), 9).alias(f"c{k}") for k, c in enumerate(features)])
 
 
 def decision_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +144,8 @@ SELECT event_type, count(k) AS n, sum(k) AS k_sum, max(k) AS k_max FROM x GROUP
     "first_n_by_block": f"WITH {TRIG} SELECT ifo, t // {BLOCK} * {BLOCK} AS block, trigger_id FROM trig QUALIFY row_number() OVER (PARTITION BY ifo ORDER BY t) <= 300",
     "densest_blocks_first": f"""WITH {TRIG}, b AS (SELECT *, t // {86400 * SECOND} * {86400 * SECOND} AS block FROM trig), s AS (SELECT *, count(*) OVER (PARTITION BY ifo, block) AS size FROM b)
 SELECT ifo, block, trigger_id FROM s QUALIFY row_number() OVER (PARTITION BY ifo ORDER BY size DESC, block, t) <= 150""",
-    "grid_centers": "SELECT a.i / 2.0::double AS c0, b.i / 2.0::double AS c1, c.i / 2.0::double AS c2 FROM range(3) a(i), range(3) b(i), range(3) c(i)",
+    "grid_centers": """WITH s AS (SELECT min(l_quantity) AS ql, max(l_quantity) AS qh, min(l_discount) AS dl, max(l_discount) AS dh, min(l_tax) AS tl, max(l_tax) AS th FROM lineitem)
+SELECT round(ql + a.i / 2.0::double * (qh - ql), 9) AS c0, round(dl + b.i / 2.0::double * (dh - dl), 9) AS c1, round(tl + c.i / 2.0::double * (th - tl), 9) AS c2 FROM s, range(3) a(i), range(3) b(i), range(3) c(i)""",
     "decision_grid": "SELECT a.i / 19.0::double AS x, b.i / 19.0::double AS y, (SELECT median(l_quantity) FROM lineitem) AS l_quantity FROM range(20) a(i), range(20) b(i)",
     "partition_grid": """SELECT f.l_returnflag, s.l_linestatus, coalesce(n::varchar, '--') AS n FROM (SELECT DISTINCT l_returnflag FROM lineitem) f CROSS JOIN (SELECT DISTINCT l_linestatus FROM lineitem) s
 LEFT JOIN (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) c ON c.l_returnflag = f.l_returnflag AND c.l_linestatus = s.l_linestatus""",
