@@ -26,7 +26,7 @@ def normal_equations(df: DataFrame, columns: list[Column], targets: list[Column]
 
 
 def moments(df: DataFrame, xs: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(n, mean, covariance with n - 1) of an array column of the given width; each batch sends one matrix, summed by place."""
+    """(n, mean, covariance with n - 1) of an array column, of rows of the given width; each batch sends one matrix, summed by place."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width + 1, width + 1))
@@ -38,7 +38,7 @@ def moments(df: DataFrame, xs: str, width: int) -> tuple[int, np.ndarray, np.nda
         at = np.arange(total.size)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel())], ["at", "v"])
 
-    summed = df.select(xs).mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # (width + 1)^2 rows
+    summed = df.select(xs).filter(F.size(xs) == width).mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # (width + 1)^2 rows
     total = np.zeros((width + 1) ** 2)
     for row in summed:
         total[row["at"]] = row["v"]
@@ -79,5 +79,5 @@ def reconstruction_error(df: DataFrame, xs: str, mean: np.ndarray, components: n
     """
     centred = F.zip_with(F.col(xs), _vector(mean), lambda x, m: x - m)
     length = array_sum(F.transform(centred, lambda x: x * x))
-    coordinates = array_sum(F.transform(projected(F.col(xs), mean, components), lambda x: x * x))
+    coordinates = array_sum(F.transform(projected(F.col(xs), mean, components), lambda x: x * x)) if len(components) else F.lit(0.0)
     return df.withColumn(out, F.greatest(length - coordinates, F.lit(0.0)) / F.size(xs))

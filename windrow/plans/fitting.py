@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fuzzy, rule_tables, staging, training
+from ..functions.scalar import json_number, micros
+from ..operators import features, fuzzy, rule_tables, staging, training
 from .classifying import _FLOOR, CLASSES, FEATURES, ORACLES as CLASSIFYING, RULES, _sql
-from .tables import table
+from .tables import SECOND, table, triggers
 
 #: Share of orders, by hash, whose lines tell when fitting stops.
 HELD = 5
@@ -100,7 +101,37 @@ def membership_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_tables.curves(_groups(spark, sf_dir), FEATURES, 50).select("rule_id", "feature", F.round("at", 9).alias("at"), F.round("membership", 6).alias("membership"))
 
 
-QUERIES = {f.__name__: f for f in (hybrid_training, gradient_training, rule_gradients, fuzzy_predict_table, grouped_rules_predict, rule_text, rule_text_by_percentiles, dominant_classes, decision_surface, membership_curves)}
+#: Features of a window, and how far its trigger may lie, in microseconds.
+WINDOW_FEATURES, NEAR = ["snr", features.SCORE, "log_energy", "k"], 600 * SECOND
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as windows at the times of the events of the same number, with the trigger near them."""
+    events = table(spark, sf_dir, "events")
+    times = events.select(F.col("event_id").alias("window_id"), micros(F.col("ts")).alias("t0"), (F.col("user_id") % 2).alias("ifo"), F.col("value").alias("log_energy"), json_number(F.col("props"), "k").alias("k"))
+    windows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("window_id"), F.col("embedding").alias("x")).join(times, "window_id")
+    return features.matched(windows, triggers(spark, sf_dir), "t0", "t", NEAR, ["ifo"], ["snr"], places=-8)
+
+
+def _saved_features(spark: SparkSession, sf_dir: str, components: int) -> DataFrame:
+    """Fitted, saved, read again and applied."""
+    rows, path = _matched(spark, sf_dir), staging.folder(spark)
+    features.FeatureAssembler(features=WINDOW_FEATURES, components=components).fit(rows).write().save(path)
+    return features.FeatureModel.load(path).transform(rows)
+
+
+def assembled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features without components, whose score is the variance about the mean image."""
+    rows = _saved_features(spark, sf_dir, 0)
+    return rows.select("window_id", *[F.round(F.col("features")[k], 6).alias(f"f{k}") for k in range(4)])
+
+
+def component_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with the components that explain 95 % of the variance."""
+    return _saved_features(spark, sf_dir, -1).select("window_id", *[F.col("features")[k].alias(f) for k, f in enumerate(WINDOW_FEATURES)])
+
+
+QUERIES = {f.__name__: f for f in (hybrid_training, gradient_training, rule_gradients, fuzzy_predict_table, grouped_rules_predict, rule_text, rule_text_by_percentiles, dominant_classes, decision_surface, membership_curves, assembled_features, component_features)}
 
 _LABELLED = "SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS label"
 _GROUPS = """pt AS (SELECT row_number() OVER () AS id, l_returnflag, l_linenumber, l_quantity / 50 AS x, l_discount / 0.1::double AS y FROM lineitem),
@@ -148,4 +179,16 @@ ORACLES = {
     "dominant_classes": f"WITH {_GROUPS}, own AS (SELECT rule_id, least(greatest(cx, 0), 1) AS x, least(greatest(cy, 0), 1) AS y FROM rt) SELECT m.rule_id, {_TOP.format('y0', 'y1', 'y2')} AS model, {_TOP.format('s0', 's1', 's2')} AS at_centre, {_TOP.format('s0', 's1', 's2')} AS total FROM ({_summed('own', 'p.rule_id', 'x', 'y', 'greatest(sum(w), 1e-12::double)').replace('SELECT p.rule_id', 'SELECT rule_id').replace('GROUP BY p.rule_id', 'GROUP BY rule_id')}) m JOIN rt ON rt.rule_id = m.rule_id",
     "decision_surface": f"WITH {_GROUPS}, grid AS (SELECT a.i / 119.0::double AS x, b.i / 119.0::double AS y FROM range(120) a(i), range(120) b(i)) SELECT floor(x * 10)::bigint AS x_tenth, count(*) AS n, round(avg(y0), 6) AS y0, round(avg(y1), 6) AS y1, round(avg(y2), 6) AS y2 FROM ({_summed('grid', 'x, y', 'x', 'y', 'greatest(sum(w), 1e-12::double)')}) GROUP BY 1",
     "membership_curves": f"WITH {_GROUPS}, f AS (SELECT rule_id, 'x' AS feature, cx AS c FROM rt UNION ALL SELECT rule_id, 'y', cy FROM rt) SELECT rule_id, feature, round(i / 49.0::double, 9) AS at, round(1 / (1 + pow(abs((i / 49.0::double - c) / 0.3::double), 4.0::double)), 6) AS membership FROM f, range(50) r(i)",
+    "assembled_features": f"""WITH trig AS (SELECT event_id AS trigger_id, epoch_us(ts) AS t, user_id % 2 AS ifo, value AS snr FROM events WHERE event_type = 'error'),
+px AS (SELECT vec_id, unnest(embedding)::double AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
+w AS (SELECT event_id AS window_id, epoch_us(ts) AS t0, user_id % 2 AS ifo, value AS log_energy, json_extract_string(props, '$.k')::double AS k FROM events WHERE event_id IN (SELECT vec_id FROM embeddings)
+ QUALIFY row_number() OVER (PARTITION BY user_id % 2, round_even(epoch_us(ts)::decimal(18,0) / 100000000, 0) ORDER BY event_id) = 1),
+c AS (SELECT w.window_id, t.snr, row_number() OVER (PARTITION BY w.window_id ORDER BY (t.t <> w.t0)::int, t.trigger_id) AS n FROM w JOIN trig t ON t.ifo = w.ifo AND abs(t.t - w.t0) < {NEAR}),
+own AS (SELECT px.* FROM px JOIN w ON w.window_id = px.vec_id),
+b AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM own),
+nx AS (SELECT vec_id, d, least(greatest((v - lo) / (hi - lo + 1e-8::double), 0), 1) AS v FROM own, b),
+ae AS (SELECT vec_id, avg((v - mu) * (v - mu)) AS ae FROM nx JOIN (SELECT d, avg(v) AS mu FROM nx GROUP BY d) m ON m.d = nx.d GROUP BY 1),
+r AS (SELECT w.window_id, c.snr, ae.ae, w.log_energy, w.k FROM w JOIN c ON c.window_id = w.window_id AND c.n = 1 JOIN ae ON ae.vec_id = w.window_id)
+SELECT window_id, round((snr - min(snr) OVER ()) / (max(snr) OVER () - min(snr) OVER () + 1e-8::double), 6) AS f0, round((ae - min(ae) OVER ()) / (max(ae) OVER () - min(ae) OVER () + 1e-8::double), 6) AS f1,
+round((log_energy - min(log_energy) OVER ()) / (max(log_energy) OVER () - min(log_energy) OVER () + 1e-8::double), 6) AS f2, round((k - min(k) OVER ()) / (max(k) OVER () - min(k) OVER () + 1e-8::double), 6) AS f3 FROM r""",
 }
