@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: A level's buckets are so many times as wide as those of the level below.
+STEP = 4
+
+
+def levelled(df: DataFrame, first: Column, last: Column, width: float) -> DataFrame:
+    """df with _level and _bucket: an interval [first, last] lies in the level whose buckets are no shorter than it, and there in one bucket or two.
+
+    Level 0 has buckets of the given width. So no interval is repeated more than twice, however long it is (it would take one of more than
+    width * STEP^24 to be). Intervals with a null bound have no row.
+    """
+    level = F.greatest(F.lit(0), F.least(F.lit(24), F.ceil(F.log(F.greatest((last - first + 1) / F.lit(width), F.lit(1.0))) / math.log(STEP) - 1e-9))).cast("int")
+    placed = df.withColumns({"_level": level, "_first": first, "_last": last}).withColumn("_size", _size(F.col("_level"), width))
+    buckets = F.sequence(F.floor(F.col("_first") / F.col("_size")), F.floor(F.greatest(F.col("_last"), F.col("_first")) / F.col("_size")))
+    return placed.withColumn("_bucket", F.explode(buckets)).drop("_first", "_last", "_size")
+
+
+def _size(level: Column, width: float) -> Column:
+    return F.lit(float(width)) * F.pow(F.lit(float(STEP)), level)
+
+
+def at_levels(points: DataFrame, at: Column, intervals: DataFrame, width: float) -> DataFrame:
+    """points with _level and _bucket, a row for each level that has intervals (from levelled()); the levels are a subquery of at most 25 numbers."""
+    used = intervals.agg(F.collect_set("_level").alias("levels")).scalar()
+    return points.withColumn("_level", F.explode(used)).withColumn("_bucket", F.floor(at / _size(F.col("_level"), width)))
+
+
 def interval_join(windows: DataFrame, points: DataFrame, start: str, end: str, at: str, keys: list[str], width: int, *, how: str = "left") -> DataFrame:
-    """Rows of windows with the points in [start, end): an equi-join on keys and a time bucket of the given width.
+    """Rows of windows with the points in [start, end): an equi-join on keys, level and time bucket; width: that of the shortest buckets.
 
-    A window is repeated for each bucket it meets, a point has one, so no match is made twice. Columns but the
-    keys must differ. how: left keeps windows without points, once; inner does not.
+    A window is in one level, and in a bucket or two of it, a point in one bucket of each level that has windows, so no match is made
+    twice and a window of any length adds a row at most. Columns but the keys must differ. how: left keeps windows without points, once; inner does not.
     """
-    bucketed = windows.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    right = points.withColumn("_bucket", F.floor(F.col(at) / width))
-    met = bucketed.join(right, [*keys, "_bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bucket")
+    bucketed = levelled(windows, F.col(start), F.col(end) - 1, width)
+    right = at_levels(points, F.col(at), bucketed, width)
+    met = bucketed.join(right, [*keys, "_level", "_bucket"]).filter((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_bucket")
     if how == "inner":
         return met
     ids = [c for c in windows.columns if c not in keys]
@@ -72,11 +100,12 @@ def rounded_member(left: DataFrame, right: DataFrame, at: Column, of: Column, pl
 
 
 def contained(windows: DataFrame, segments: DataFrame, start: str, end: str, pad: int, keys: list[str], width: int) -> DataFrame:
-    """windows whose [start - pad, end + pad] lies within one of segments(seg_start, seg_end): segments are dealt to the buckets they cover."""
-    right = segments.select(*keys, "seg_start", "seg_end", F.explode(F.sequence(F.floor(F.col("seg_start") / width), F.floor(F.col("seg_end") / width))).alias("_bucket"))
-    left = windows.withColumns({"_bucket": F.floor((F.col(start) - pad) / width), "_a": F.col(start) - pad, "_b": F.col(end) + pad})
-    on = [left[k] == right[k] for k in [*keys, "_bucket"]]
-    return left.join(right, [*on, F.col("seg_start") <= F.col("_a"), F.col("_b") <= F.col("seg_end")], "left_semi").drop("_bucket", "_a", "_b")
+    """windows whose [start - pad, end + pad] lies within one of segments(seg_start, seg_end), which are dealt to the buckets of their level."""
+    right = levelled(segments.select(*keys, "seg_start", "seg_end"), F.col("seg_start"), F.col("seg_end"), width)
+    own = windows.withColumn("_w", F.struct(*windows.columns))
+    left = own.select("_w", *keys, (F.col(start) - pad).alias("_a"), (F.col(end) + pad).alias("_b"))
+    met = at_levels(left, F.col("_a"), right, width).join(right, [*keys, "_level", "_bucket"]).filter((F.col("seg_start") <= F.col("_a")) & (F.col("_b") <= F.col("seg_end")))
+    return own.join(met.select("_w").distinct(), "_w", "left_semi").drop("_w")
 
 
 def pending(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import hash_order
+from .joins import at_levels, levelled
 from .ranking import quantiles, running, same
 
 #: Ranges of the hash in which the rows of a key are numbered, as a power of two.
@@ -88,8 +89,8 @@ def first_by_block(df: DataFrame, at: str, width: int, limit: int, keys: list[st
 def weighted_times(segments: DataFrame, draws: DataFrame, dur: float, pad: float) -> DataFrame:
     """draws(draw_id, u, v) with seg_start and t0: a segment by its free length (u), then a start in it (v); u and v lie in [0, 1).
 
-    Cumulated lengths come from running sums in ranges; segments meet draws in buckets of
-    the mean length, of which a segment covers its share and one more. Segments differ in seg_start.
+    Cumulated lengths come from running sums in ranges; segments meet draws in buckets of the mean
+    length, longer ones in those of a higher level. Segments differ in seg_start.
     """
     free = F.greatest(F.lit(0.0), F.col("seg_end") - F.col("seg_start") - (dur + 2 * pad))
     lengths = segments.withColumn("_free", free).filter("_free > 0")
@@ -98,8 +99,7 @@ def weighted_times(segments: DataFrame, draws: DataFrame, dur: float, pad: float
         return draws.select("draw_id", F.lit(0.0).alias("seg_start"), F.lit(0.0).alias("t0")).limit(0)
     total, width = float(row["total"]), float(row["total"]) / row["n"]
     lengths = running(lengths, "seg_start", {"_upto": "_free"})
-    bucket = lambda x: F.floor(x / width)
-    spread = lengths.withColumn("_bucket", F.explode(F.sequence(bucket(F.greatest(F.col("_upto") - F.col("_free"), F.lit(0.0))), bucket(F.col("_upto")))))
-    met = draws.withColumn("_reached", F.col("u") * total).withColumn("_bucket", bucket(F.col("_reached"))).join(spread, "_bucket")
+    spread = levelled(lengths, F.col("_upto") - F.col("_free"), F.col("_upto"), width)
+    met = at_levels(draws.withColumn("_reached", F.col("u") * total), F.col("_reached"), spread, width).join(spread, ["_level", "_bucket"])
     met = met.filter((F.col("_reached") > F.col("_upto") - F.col("_free")) & (F.col("_reached") <= F.col("_upto")))
     return met.select("draw_id", "seg_start", (F.col("seg_start") + pad + F.col("v") * F.col("_free")).alias("t0"))
