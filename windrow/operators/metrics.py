@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import f_tail
 from .ranking import quantiles, running, running_by, same
 
 
@@ -82,13 +83,64 @@ def score_by_class(df: DataFrame, label: str, score: str, least: int = 1) -> Dat
 
 
 def anova_f(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """(feature, f): variance between classes over variance within them."""
+    """(feature, f, between, within, p): variance between classes over variance within them, its degrees of freedom, and the probability of a greater ratio by chance."""
     long = df.select(label, F.explode(F.create_map(*[x for f in features for x in (F.lit(f), F.col(f).cast("double"))])).alias("feature", "x")).filter("x is not null")
     per = long.groupBy("feature", label).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
     whole = per.groupBy("feature").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("_m"))
     each = per.join(F.broadcast(whole), "feature")  # a row a feature
     out = each.groupBy("feature").agg(F.sum(F.col("n") * (F.col("m") - F.col("_m")) * (F.col("m") - F.col("_m"))).alias("b"), F.sum(F.col("n") * F.col("v")).alias("w"), F.max("_n").alias("_n"), F.max("_k").alias("_k"))
-    return out.select("feature", (F.try_divide(F.col("b"), F.col("_k") - 1) / (F.try_divide(F.col("w"), F.col("_n") - F.col("_k")) + F.lit(1e-12))).alias("f"))
+    out = out.select("feature", (F.try_divide(F.col("b"), F.col("_k") - 1) / (F.try_divide(F.col("w"), F.col("_n") - F.col("_k")) + F.lit(1e-12))).alias("f"), (F.col("_k") - 1).alias("between"), (F.col("_n") - F.col("_k")).alias("within"))
+    return out.withColumn("p", f_tail(F.col("f"), F.col("between"), F.col("within")))
+
+
+#: Bounds of what a score is worth, best first; below the last it is weak.
+BANDS = {"strong": 0.85, "fair": 0.7}
+
+
+def band(x: Column, bands: dict[str, float] = BANDS) -> Column:
+    """The first band whose bound x exceeds, else weak; null for a null."""
+    out = F.when(x.isNull(), F.lit(None).cast("string"))
+    for name, bound in bands.items():
+        out = out.when(x > bound, name)
+    return out.otherwise("weak")
+
+
+def verdict(df: DataFrame, scores: dict[str, str], label: str) -> DataFrame:
+    """One row: the area under the curve of each score (new name -> column), the best of them and of the first's inverse, and its band."""
+    out = None
+    for name, column in scores.items():
+        own = auroc(df, column, label).select(F.col("auroc").alias(name))
+        out = own if out is None else out.join(F.broadcast(own))  # one row each
+    first = F.col(next(iter(scores)))
+    return out.withColumn("best", F.greatest(*[F.col(n) for n in scores], 1 - first)).withColumn("band", band(F.col("best")))
+
+
+def weighted_mean(value: str, weight: str) -> Column:
+    """Aggregate: the mean of value by weight; null where the weights add up to 0. Rows that lack either do not count."""
+    both = F.col(value).isNotNull() & F.col(weight).isNotNull()
+    total = F.sum(F.when(both, F.col(weight)))
+    return F.when(total != 0, F.sum(F.when(both, F.col(value) * F.col(weight))) / total)
+
+
+def hours(seconds: str) -> Column:
+    """Aggregate: hours that add up."""
+    return F.sum(seconds) / 3600
+
+
+def positive_weight(positive: Column, negative: Column) -> Column:
+    """Aggregate: negative rows for each positive one; null without positive ones."""
+    return F.try_divide(F.count_if(negative), F.count_if(positive))
+
+
+def entry_checks(df: DataFrame, label: str, expected: int | None = None) -> DataFrame:
+    """One row: rows, rows with a null or blank label, classes, whether the rows are as many as expected, and the verdict; a fail names what is wrong first."""
+    out = df.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.coalesce(F.trim(label), F.lit("")) == "").alias("empty_labels"),
+        F.count_distinct(F.when(F.trim(label) != "", F.col(label))).alias("classes"),
+    )
+    out = out.withColumn("as_expected", F.lit(True) if expected is None else F.col("n") == expected)
+    return out.withColumn("verdict", F.when(~F.col("as_expected"), "length_mismatch").when(F.col("empty_labels") > 0, "empty_labels").otherwise("ok"))
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -57,7 +57,8 @@ def same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> Dat
     met = F.lit(True)
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
-    return a.join(right, met, how).drop(*[f"_same_{k}" for k in keys])
+    joined = a.join(right, met, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_same_{k}" for k in keys])
 
 
 def running_by(df: DataFrame, keys: list[str], by: str, sums: dict[str, str], *, descending: bool = False, ranges: int = RANGES) -> DataFrame:

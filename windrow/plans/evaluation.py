@@ -100,6 +100,18 @@ def anova_f(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("feature", F.round("f", 6).alias("f"))
 
 
+def anova_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ratios of anova_f with their degrees of freedom and how likely chance is to exceed them."""
+    rows = metrics.anova_f(table(spark, sf_dir, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"])
+    return rows.select("feature", "between", "within", F.round("p", 9).alias("p"))
+
+
+def entry_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows without a class among the events' types, and whether there are as many as ids."""
+    rows = table(spark, sf_dir, "events")
+    return metrics.entry_checks(rows, "event_type", rows.select("event_id").distinct().count())
+
+
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.class_weights(table(spark, sf_dir, "lineitem"), "l_returnflag")
     return rows.select("l_returnflag", "n", F.round("balanced", 8).alias("balanced"), F.round("rescaled", 8).alias("rescaled"))
@@ -113,7 +125,7 @@ def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("source", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round(F.col("b") - F.col("a"), 6).alias("delta"))
 
 
-QUERIES = {f.__name__: f for f in (auroc, auroc_inverted, auroc_by_group, average_precision, roc_curve, tpr_at_fpr, inferred_label_auroc, proxy_labels, confusion_matrix, per_class_prf, macro_f1_both, class_score_stats, top_bottom_classes, argmax_per_class, anova_f, class_weights, version_comparison)}
+QUERIES = {f.__name__: f for f in (auroc, auroc_inverted, auroc_by_group, average_precision, roc_curve, tpr_at_fpr, inferred_label_auroc, proxy_labels, confusion_matrix, per_class_prf, macro_f1_both, class_score_stats, top_bottom_classes, argmax_per_class, anova_f, anova_p, entry_checks, class_weights, version_comparison)}
 
 _CURVE = f"""{SCORED}, c AS (SELECT score, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth <> 1) AS neg FROM scored WHERE score IS NOT NULL AND truth IS NOT NULL GROUP BY 1),
 k AS (SELECT *, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp, sum(pos) OVER () AS np, sum(neg) OVER () AS nn FROM c),
@@ -146,6 +158,9 @@ SELECT s.lang, sum(CASE WHEN n0 < 5 THEN (score > p)::int ELSE truth END)::bigin
     "top_bottom_classes": f"""WITH {SCORED}, c AS (SELECT source, avg(score) AS mean FROM scored GROUP BY 1 HAVING count(*) >= 5)
 SELECT 'top' AS side, source, round(mean, 6) AS mean FROM (SELECT * FROM c ORDER BY mean DESC, source LIMIT 3) UNION ALL SELECT 'bottom', source, round(mean, 6) FROM (SELECT * FROM c ORDER BY mean, source DESC LIMIT 3)""",
     "argmax_per_class": f"WITH {SCORED} SELECT lang, doc_id, score FROM scored QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, doc_id) = 1",
+    "anova_p": "WITH " + ", ".join(f"c{k} AS (SELECT l_returnflag AS c, count({x}) AS n, avg({x}) AS m, var_pop({x}) AS v FROM lineitem GROUP BY 1), a{k} AS (SELECT avg({x}) AS mu FROM lineitem), f{k} AS (SELECT '{x}' AS feature, count(*) - 1 AS between, (sum(n) - count(*))::bigint AS within, (sum(n * (m - mu) * (m - mu)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*)) + 1e-12::double) AS f FROM c{k}, a{k})" for k, x in enumerate(("l_quantity", "l_extendedprice", "l_discount")))
+    + " SELECT feature, between, within, round(exp(within / 2.0::double * ln(within / (within + between * f))), 9) AS p FROM (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(3)) + ")",  # exact for three classes
+    "entry_checks": "SELECT count(*) AS n, count(*) FILTER (coalesce(trim(event_type), '') = '') AS empty_labels, count(DISTINCT event_type) FILTER (trim(event_type) <> '') AS classes, count(*) = count(DISTINCT event_id) AS as_expected, CASE WHEN count(*) <> count(DISTINCT event_id) THEN 'length_mismatch' WHEN count(*) FILTER (coalesce(trim(event_type), '') = '') > 0 THEN 'empty_labels' ELSE 'ok' END AS verdict FROM events",
     "anova_f": "WITH " + ", ".join(f"c{k} AS (SELECT l_returnflag AS c, count({x}) AS n, avg({x}) AS m, var_pop({x}) AS v FROM lineitem GROUP BY 1), a{k} AS (SELECT avg({x}) AS mu FROM lineitem)" for k, x in enumerate(("l_quantity", "l_extendedprice", "l_discount")))
     + " ".join(f" {'UNION ALL ' if k else ''}SELECT '{x}' AS feature, round(sum(n * (m - mu) * (m - mu)) / (count(*) - 1) / (sum(n * v) / (sum(n) - count(*)) + 1e-12), 6) AS f FROM c{k}, a{k}" for k, x in enumerate(("l_quantity", "l_extendedprice", "l_discount"))),
     "class_weights": """WITH c AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1), w AS (SELECT sum(n) AS t, count(*) AS k, sum(1 / n) AS s FROM c)

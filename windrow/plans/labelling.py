@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import labels, ranking, splits
+from ..operators import labels, norm, ranking, splits, staging
+from ..streaming import intervals
 from .tables import DUR, MIDDLE, TRIG, WIN, triggers, windows
 
 
@@ -51,7 +52,31 @@ def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.leakage(_split(spark, sf_dir), "t0")
 
 
-QUERIES = {f.__name__: f for f in (interval_label, interval_label_stats, consolidated_rollup, overlap_poisson, temporal_split_counts, temporal_split_nominal, leakage_check)}
+def temporal_p80(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nominal windows, up to the 95th percentile of energy, split at the 80th percentile of their times."""
+    nominal = norm.up_to_percentile(windows(spark, sf_dir), "energy", 0.95)
+    rows = splits.temporal(nominal, "t0", train=0.8, val=1.0)
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("t0").alias("first_t0"), F.max("t0").alias("last_t0"))
+
+
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks and the errors in the minute after each, both read as streams until all there is has been joined."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    alone = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    events = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if alone else stream.parquet(path)  # streams read folders
+    at = F.col("ts").cast("timestamp")
+    clicks = events.filter("event_type = 'click'").select(F.col("event_id").alias("window_id"), (F.col("user_id") % 2).alias("ifo"), at.alias("start"), (at + F.expr("interval 1 minute")).alias("end"))
+    errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("trigger_id"), (F.col("user_id") % 2).alias("ifo"), at.alias("at"))
+    joined = intervals.interval_join(clicks, errors, "start", "end", "at", ["ifo"], longest="1 minute")
+    out = staging.folder(spark)
+    query = joined.select("window_id", "trigger_id").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("window_id long, trigger_id long").parquet(f"{out}/rows")
+
+
+QUERIES = {f.__name__: f for f in (interval_label, interval_label_stats, consolidated_rollup, overlap_poisson, temporal_split_counts, temporal_split_nominal, leakage_check, temporal_p80, stream_interval_join)}
 
 _MET = f"""{TRIG}, {WIN},
 ids AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS id FROM (SELECT DISTINCT label FROM trig)),
@@ -77,4 +102,7 @@ SELECT ifo, n_windows, n_triggers, n0, n1, n2, n3, round_even(m, 4) AS mean_matc
     "temporal_split_nominal": f"""WITH {WIN}, p AS (SELECT quantile_cont(t0::double, 0.7) AS a, quantile_cont(t0::double, 0.85) AS b, quantile_cont(energy, 0.95) AS p95 FROM win)
 SELECT CASE WHEN energy > p95 THEN 'test' WHEN t0 <= a THEN 'train' WHEN t0 <= b THEN 'val' ELSE 'test' END AS split, count(*) AS n, count(*) FILTER (energy > p95) AS candidates FROM win, p GROUP BY 1""",
     "leakage_check": f"WITH {_SPLIT}, x AS (SELECT max(t0) FILTER (split = 'train') AS last_train, min(t0) FILTER (split = 'test') AS first_test FROM spl) SELECT *, last_train < first_test AS ok FROM x",
+    "temporal_p80": f"""WITH {WIN}, n AS (SELECT * FROM win WHERE energy <= (SELECT quantile_cont(energy, 0.95) FROM win)), p AS (SELECT quantile_cont(t0, 0.8) AS a FROM n)
+SELECT CASE WHEN t0 <= a THEN 'train' ELSE 'val' END AS split, count(*) AS n, min(t0) AS first_t0, max(t0) AS last_t0 FROM n, p GROUP BY 1""",
+    "stream_interval_join": f"WITH {TRIG}, {WIN} SELECT w.window_id, t.trigger_id FROM win w JOIN trig t ON t.ifo = w.ifo AND t.t >= w.t0 AND t.t < w.t0 + w.dur",
 }

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import array_percentile, array_variance, finite, sanitise, tercile
-from ..operators import metrics, norm, ranking
+from ..operators import metrics, norm, ranking, staging
+from ..sources import archives
 from .tables import scored, table
 
 FEATURES = ["l_quantity", "l_extendedprice"]
@@ -98,7 +99,18 @@ def tercile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("p_brand", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (nominal_filter_p95, nominal_filter_by_partition, multi_percentile, pixel_p1_p99, array_p90_energy, flat_images, sanity_report, clipped_pixels, finite_rows, group_norm_p2_p98, global_minmax_norm, combined_score, score_histogram60, class_boxplot, tercile_bins)}
+def archived_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings written as archives of arrays, and their totals as read back from them."""
+    archives.register(spark)
+    path = staging.folder(spark)
+    rows = table(spark, sf_dir, "embeddings")
+    rows.select(F.col("embedding").alias("x"), F.col("vec_id").cast("double").alias("t0"), F.col("label").cast("float").alias("log_energy")).write.format("windows").mode("append").save(path)
+    back = spark.read.format("windows").schema("t0 double, log_energy float, x array<float>").option("rowsPerPartition", 512).load(path)
+    total = F.aggregate("x", F.lit(0.0), lambda a, v: a + v)
+    return back.select(F.col("t0").cast("long").alias("vec_id"), F.col("log_energy").cast("int").alias("label"), F.size("x").alias("n"), F.round(total, 5).alias("total"))
+
+
+QUERIES = {f.__name__: f for f in (nominal_filter_p95, nominal_filter_by_partition, multi_percentile, pixel_p1_p99, array_p90_energy, flat_images, sanity_report, clipped_pixels, finite_rows, group_norm_p2_p98, global_minmax_norm, combined_score, score_histogram60, class_boxplot, tercile_bins, archived_windows)}
 
 _PIX = "px AS (SELECT vec_id, label, unnest(embedding)::double AS x FROM embeddings)"
 ORACLES = {
@@ -128,4 +140,5 @@ b AS (SELECT s.truth, least(floor((v - lo) / ((hi - lo) / 60)), 59)::int AS bin,
 SELECT q.lang, q1, median, q3, min(v) AS low, max(v) AS high FROM q JOIN s ON s.lang IS NOT DISTINCT FROM q.lang AND v BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1, 2, 3, 4""",
     "tercile_bins": """WITH q AS (SELECT quantile_cont(p_retailprice, 0.33) AS a, quantile_cont(p_retailprice, 0.67) AS b FROM part)
 SELECT p_brand, CASE WHEN p_retailprice <= a THEN 'low' WHEN p_retailprice <= b THEN 'medium' ELSE 'high' END AS bin, count(*) AS n FROM part, q GROUP BY 1, 2""",
+    "archived_windows": "SELECT vec_id, label, len(embedding)::int AS n, round(list_sum(list_transform(embedding, lambda x: x::double)), 5) AS total FROM embeddings",
 }

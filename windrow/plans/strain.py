@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import array_percentile, clip
-from ..operators import joins, signal
+from ..functions.scalar import array_percentile, clipped_first, sigmoid, softplus, spaced
+from ..operators import joins, metrics, signal
 from .lookups import TOLERANCE
-from .tables import TRIG, WIN, table, triggers, windows
+from .tables import SCORED, TRIG, WIN, scored, table, triggers, windows
 
 #: Fine classes of the published trigger catalogues and the coarse classes they belong to, fixed values.
 LOUD = ("Extremely_Loud", "Chirp", "Koi_Fish")
@@ -18,6 +18,8 @@ LINE = ("Low_Frequency_Lines", "60Hz_Line", "Whistle", "Violin_Mode", "Violin_Mo
 OTHER = ("No_Glitch", "Air_Compressor", "Helix", "Light_Modulation", "Paired_Doves", "Tomte")
 #: The narrower table, by coarse class; all else is Other.
 NARROW = {"Loud": ("Extremely_Loud", "Koi_Fish", "Chirp"), "Burst": ("Low_Frequency_Burst", "Blip", "Blip_Low_Frequency"), "Scatter": ("Scattered_Light", "Fast_Scattering")}
+#: A third table, in which lines stand alone.
+BY_LINE = {"Loud": ("Extremely_Loud", "Koi_Fish"), "Burst": ("Low_Frequency_Burst", "Blip", "Blip_Low_Frequency"), "Scatter": ("Scattered_Light", "Fast_Scattering"), "Line": ("Low_Frequency_Lines", "Power_Line", "Violin_Mode", "Wandering_Line")}
 WIDE = {"Loud": LOUD, "Burst": BURST, "Scatter": SCATTER, "Line": LINE}
 FINE = (*LOUD, *BURST, *SCATTER, *LINE, *OTHER, "Unheard_Of")
 
@@ -81,26 +83,38 @@ def strain_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scaled_clip_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clipped to the bounds first, then scaled, and the activations of it."""
-    x = (clip(F.col("p_retailprice"), 1000.0, 1500.0) - 1000.0) / 500.0
-    rows = table(spark, sf_dir, "part").select("p_partkey", x.alias("x"))
-    return rows.select("p_partkey", F.round("x", 6).alias("x"), F.round(F.log1p(F.exp("x")), 6).alias("softplus"), F.round(1 / (1 + F.exp(-F.col("x"))), 6).alias("sigmoid"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", clipped_first(F.col("p_retailprice"), 1000.0, 1500.0).alias("x"))
+    return rows.select("p_partkey", F.round("x", 6).alias("x"), F.round(softplus(F.col("x")), 6).alias("softplus"), F.round(sigmoid(F.col("x")), 6).alias("sigmoid"))
 
 
 def verdict_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bands of the best of a score, its inverse and a stand-in; weighted losses, hours and the weight of positives, by return flag."""
-    rows = table(spark, sf_dir, "lineitem")
-    per = rows.groupBy("l_returnflag").agg(
+    per = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
         F.avg((F.col("l_discount") > 0.05).cast("int")).alias("a"),
         F.avg((F.col("l_tax") > 0.01).cast("int")).alias("b"),
-        (F.sum(F.col("l_discount") * F.col("l_quantity")) / F.sum("l_quantity")).alias("loss"),
-        (F.sum("l_quantity") / 3600).alias("hours"),
-        F.try_divide(F.count_if(F.col("l_linestatus") == "F"), F.count_if(F.col("l_linestatus") == "O")).alias("pos_weight"),
+        metrics.weighted_mean("l_discount", "l_quantity").alias("loss"),
+        metrics.hours("l_quantity").alias("hours"),
+        metrics.positive_weight(F.col("l_linestatus") == "O", F.col("l_linestatus") == "F").alias("pos_weight"),
     )
     best = F.greatest("a", 1 - F.col("a"), "b")
-    return per.select("l_returnflag", F.round(best, 6).alias("best"), F.when(best > 0.85, "strong").when(best > 0.7, "fair").otherwise("weak").alias("band"), F.round("loss", 6).alias("loss"), F.round("hours", 4).alias("hours"), F.round("pos_weight", 6).alias("pos_weight"))
+    return per.select("l_returnflag", F.round(best, 6).alias("best"), metrics.band(best).alias("band"), F.round("loss", 6).alias("loss"), F.round("hours", 4).alias("hours"), F.round("pos_weight", 6).alias("pos_weight"))
 
 
-QUERIES = {f.__name__: f for f in (fine_to_coarse, nearest_with_fallback, cropped_spans, window_normalised, resized_rows, strain_images, scaled_clip_first, verdict_bands)}
+def score_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas under the curves of two scores of documents, the best of them, and its band."""
+    rows = scored(spark, sf_dir).withColumn("other", F.length("source").cast("double"))
+    out = metrics.verdict(rows, {"a": "score", "b": "other"}, "truth")
+    return out.select(*[F.round(c, 8).alias(c) for c in ("a", "b", "best")], "band")
+
+
+def fine_to_coarse_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third table of classes, with lines as a class of their own, and names as they are printed."""
+    fine = F.element_at(F.array(*map(F.lit, FINE)), (F.col("event_id") % len(FINE)).cast("int") + 1)
+    rows = table(spark, sf_dir, "events").select(coarse(fine, BY_LINE).alias("coarse"), spaced(fine).alias("fine"))
+    return rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"), F.min("fine").alias("first"))
+
+
+QUERIES = {f.__name__: f for f in (fine_to_coarse, nearest_with_fallback, cropped_spans, window_normalised, resized_rows, strain_images, scaled_clip_first, verdict_bands, score_verdict, fine_to_coarse_by_line)}
 
 
 def _sql_case(table_: dict[str, tuple[str, ...]]) -> str:
@@ -121,4 +135,10 @@ SELECT p.vec_id, round(max(p90), 6) AS log_energy, round(sum(least(1, z / p99)),
     "verdict_bands": """WITH p AS (SELECT l_returnflag, avg((l_discount > 0.05::double)::int) AS a, avg((l_tax > 0.01::double)::int) AS b, sum(l_discount * l_quantity) / sum(l_quantity) AS loss, sum(l_quantity) / 3600 AS hours,
 count(*) FILTER (l_linestatus = 'F')::double / nullif(count(*) FILTER (l_linestatus = 'O'), 0) AS w FROM lineitem GROUP BY 1)
 SELECT l_returnflag, round(greatest(a, 1 - a, b), 6) AS best, CASE WHEN greatest(a, 1 - a, b) > 0.85 THEN 'strong' WHEN greatest(a, 1 - a, b) > 0.7 THEN 'fair' ELSE 'weak' END AS band, round(loss, 6) AS loss, round(hours, 4) AS hours, round(w, 6) AS pos_weight FROM p""",
+    "score_verdict": f"""WITH {SCORED}, x AS (SELECT 'a' AS k, score AS s, truth FROM scored WHERE score IS NOT NULL UNION ALL SELECT 'b', length(source), truth FROM scored WHERE source IS NOT NULL),
+r AS (SELECT *, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0::double AS rk FROM x),
+u AS (SELECT k, (sum(rk) FILTER (truth = 1) - count(*) FILTER (truth = 1) * (count(*) FILTER (truth = 1) + 1) / 2) / (count(*) FILTER (truth = 1) * count(*) FILTER (truth <> 1)) AS u FROM r GROUP BY 1),
+v AS (SELECT max(u) FILTER (k = 'a') AS a, max(u) FILTER (k = 'b') AS b FROM u), w AS (SELECT *, greatest(a, b, 1 - a) AS best FROM v)
+SELECT round(a, 8) AS a, round(b, 8) AS b, round(best, 8) AS best, CASE WHEN best > 0.85 THEN 'strong' WHEN best > 0.7 THEN 'fair' ELSE 'weak' END AS band FROM w""",
+    "fine_to_coarse_by_line": f"WITH f AS (SELECT [{', '.join(repr(x) for x in FINE)}][event_id % {len(FINE)} + 1] AS f FROM events) SELECT {_sql_case(BY_LINE)} AS coarse, count(*) AS n, min(replace(f, '_', ' ')) AS first FROM f GROUP BY 1",
 }

@@ -216,6 +216,7 @@ class _Writer(DataSourceArrowWriter):
 
     def commit(self, messages: list[_Written | None]) -> None:
         files, root = _open(self.path)
+        files.create_dir(root, recursive=True)
         before = [f for f in archives(self.path)] if self.overwrite else []
         for message in messages:
             for name in message.files if message else []:

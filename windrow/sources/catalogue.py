@@ -28,8 +28,12 @@ def number(name: str) -> Column:
     return F.trim(F.col(name)).try_cast("double")
 
 
-def _by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """FIELDS as text, with file and file_order. Files that share a header are read together, each kind by its own."""
+#: Names under which files have the detector, in the order in which they are looked for, fixed values.
+IFO_NAMES = ("ifo", "IFO", "detector", "channel")
+
+
+def _by_header(spark: SparkSession, path: str | list[str], ifo_names: tuple[str, ...] = ("ifo",)) -> DataFrame:
+    """FIELDS as text, with file and file_order. Files that share a header are read together, each kind by its own; ifo is the first of ifo_names that a header has."""
     files = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
     heads = files.filter("at = 0").groupBy("file").agg(F.first("value").alias("header")).collect()  # a row a file
     kinds: dict[str, list[str]] = {}
@@ -38,8 +42,9 @@ def _by_header(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parts = []
     for names in kinds.values():
         raw = spark.read.option("header", True).csv(names).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_place"))
-        lacking = [F.lit(None).cast("string").alias(f) for f in FIELDS if f not in raw.columns]
-        parts.append(raw.select(*[F.col(f"`{f}`").cast("string").alias(f) for f in FIELDS if f in raw.columns], *lacking, "file", "_place").select(*FIELDS, "file", "_place"))
+        named = {f: f for f in FIELDS if f in raw.columns} | {"ifo": n for n in reversed(ifo_names) if n in raw.columns}
+        lacking = [F.lit(None).cast("string").alias(f) for f in FIELDS if f not in named]
+        parts.append(raw.select(*[F.col(f"`{n}`").cast("string").alias(f) for f, n in named.items()], *lacking, "file", "_place").select(*FIELDS, "file", "_place"))
     if not parts:
         return spark.createDataFrame([], ", ".join(f"{f} string" for f in FIELDS) + ", file string, file_order struct<file: string, place: long>")
     return reduce(DataFrame.unionByName, parts).withColumn("file_order", F.struct("file", F.col("_place").alias("place"))).drop("_place")
@@ -99,6 +104,24 @@ def read_catalogue(spark: SparkSession, path: str | list[str], *, label: str = "
     )
 
 
+def peak_times(spark: SparkSession, path: str | list[str], ifo: str) -> DataFrame:
+    """(t, file, file_order) of the triggers of a detector, and of those that name none, whatever of IFO_NAMES the column is called; files without one count whole.
+
+    Time is peak_time with its nanoseconds where both are numbers, else event_time, else peak_time in whole seconds; rows without any of them go.
+    """
+    raw = _by_header(spark, path, IFO_NAMES)
+    own = F.coalesce(F.trim("ifo"), F.lit(""))
+    t = F.coalesce(number("peak_time") + number("peak_time_ns") * 1e-9, number("event_time"), number("peak_time"))
+    return raw.filter((own == "") | (own == ifo)).select(t.alias("t"), "file", "file_order").filter("t is not null")
+
+
+def counted(spark: SparkSession, path: str | list[str], ifo: str) -> DataFrame:
+    """(file, rows, kept): of each file its rows and those that peak_times() gives."""
+    rows = _by_header(spark, path, IFO_NAMES).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
+    kept = peak_times(spark, path, ifo).groupBy("file").agg(F.count(F.lit(1)).alias("kept"))
+    return rows.join(kept, "file", "left").select("file", "rows", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 def filters(*, ifo: str | None = None, confidence: float | None = 0.9, snr: float | None = 7.5, span: tuple[float, float] | None = None, excluded: tuple[str, ...] = ()) -> dict[str, Column]:
     """Named tests in the order in which they are applied; a row is counted against the first that it fails."""
     tests = {} if ifo is None else {"ifo": F.col("ifo") == ifo}
