@@ -106,3 +106,27 @@ def test_streams_equal_tables_and_forget(spark, tmp_path, how):
     assert max(kept) < 370 * 0.6 and kept[-1] < 150  # not all of 120 windows and 250 points
     with pytest.raises(ValueError, match="inner or left"):
         intervals.interval_join(batch, batch, "start", "end", "at", ["ifo"], longest="1 minute", how="right")
+
+
+def test_running_sums_and_percentiles_over_many_ranges(spark):
+    rng = np.random.default_rng(8)
+    values = np.unique(np.round(rng.normal(size=3000), 3))
+    from windrow.operators import ranking
+
+    df = spark.createDataFrame([(float(v), int(k % 5 + 1)) for k, v in enumerate(values)], "v double, n long")
+    for descending in (False, True):
+        got = {r["v"]: r["s"] for r in ranking.running(df, "v", {"s": "n"}, descending=descending, rows=7).collect()}
+        order = values[::-1] if descending else values
+        n = {float(v): k % 5 + 1 for k, v in enumerate(values)}
+        want, total = {}, 0
+        for v in order.tolist():
+            total += n[v]
+            want[v] = total
+        assert got == want
+    keyed = spark.createDataFrame([(k, float(v)) for k, size in ((None, 900), (1, 1), (2, 400)) for v in rng.integers(0, 500, size)], "k long, x double")
+    want = {r["k"]: r["p"] for r in keyed.groupBy("k").agg(F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("p")).collect()}
+    got = {r["k"]: r["q"] for r in ranking.quantiles_of(ranking.counted(keyed, ["k"], "x"), ["k"], [0.1, 0.5, 0.9], rows=9).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
+    bounds = [1.0, 2.0, 2.5, 7.0, 8.0, 9.0, 11.0]
+    rows = spark.range(-2, 30).select((F.col("id") / 2).alias("x"))
+    assert all(r["p"] == sum(b <= r["x"] for b in bounds) for r in rows.withColumn("p", ranking.place(F.lit(np.array(bounds)), F.col("x"))).collect())

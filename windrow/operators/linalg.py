@@ -63,7 +63,7 @@ def components_for(shares: np.ndarray, wanted: float = 0.95) -> int:
 
 
 def _vector(v: np.ndarray) -> Column:
-    return F.array(*[F.lit(float(x)) for x in v])
+    return F.lit(np.asarray(v, float))
 
 
 def projected(xs: Column, mean: np.ndarray, components: np.ndarray) -> Column:

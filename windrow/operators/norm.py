@@ -6,16 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import array_sum, array_variance, scaled
-from .ranking import quantiles, same
+from .ranking import counted, quantiles, quantiles_of, same
 
 
 def group_bounds(train: DataFrame, everything: DataFrame, group: list[str], features: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
-    """(group, feature_lo, feature_hi, ...): percentiles of the training rows of each group of everything; a group without any gets the global ones."""
-    out = everything.select(*group).distinct()
-    for f in features:
-        own = quantiles(train, group, f, [low, high]).withColumnRenamed("q", f"_g_{f}")
-        out = same(out, own, group, "left").join(F.broadcast(quantiles(train, [], f, [low, high]).withColumnRenamed("q", f"_a_{f}")), how="left")
-    return out.select(*group, *[F.coalesce(f"_g_{f}", f"_a_{f}")[k].alias(f"{f}_{n}") for f in features for k, n in enumerate(("lo", "hi"))])
+    """(group, feature_lo, feature_hi, ...): percentiles of the training rows of each group of everything; a group without any gets the global ones.
+
+    All features are counted in one pass, and the counts of all groups are the sums of those of each.
+    """
+    values = F.array(*[F.struct(F.lit(k).alias("_f"), F.col(f).cast("double").alias("_x")) for k, f in enumerate(features)])
+    long = train.select(*group, F.inline(values))
+    counts = counted(long, [*group, "_f"], "_x")
+    whole = quantiles_of(counts.groupBy("_f", "_v").agg(F.sum("_n").alias("_n")), ["_f"], [low, high])
+    own = quantiles_of(counts, [*group, "_f"], [low, high])
+    wide = lambda df, keys, name: df.groupBy(*keys).agg(*[F.max(F.when(F.col("_f") == k, F.col("q"))).alias(f"{name}{k}") for k in range(len(features))])
+    out = same(everything.select(*group).distinct(), wide(own, group, "_g"), group, "left").join(F.broadcast(wide(whole, [], "_a")), how="left")  # one row of global bounds
+    return out.select(*group, *[F.coalesce(f"_g{i}", f"_a{i}")[k].alias(f"{f}_{n}") for i, f in enumerate(features) for k, n in enumerate(("lo", "hi"))])
 
 
 def normalised(df: DataFrame, bounds: DataFrame, group: list[str], features: list[str]) -> DataFrame:

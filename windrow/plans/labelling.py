@@ -34,7 +34,7 @@ def overlap_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labelled(spark, sf_dir)
-    return splits.temporal(rows, "t0", excluded=F.col("label") == labels.AMBIGUOUS)
+    return splits.temporal(rows, "t0", excluded=F.col("label") == labels.AMBIGUOUS, times=windows(spark, sf_dir))
 
 
 def temporal_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
