@@ -53,3 +53,14 @@ def test_figures(spark):
     assert metrics.entry_checks(df, "label", 4).first()["verdict"] == "length_mismatch" and metrics.entry_checks(df.limit(0), "label", 0).first()["verdict"] == "ok"
     bands = spark.createDataFrame([(0.9,), (0.8,), (0.2,), (None,)], "x double").select(metrics.band(F.col("x")).alias("b")).collect()
     assert [r["b"] for r in bands] == ["strong", "fair", "weak", None]
+
+
+def test_array_shapes(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0], [5.0, 6.0, 7.0, 8.0]), ([1.0], [2.0, 3.0]), ([], [])], "a array<double>, b array<double>")
+    got = df.select(scalar.reshaped(F.col("a"), 2).alias("r"), scalar.stacked(F.col("a"), F.col("b")).alias("s"), scalar.tiled(F.col("a"), 2).alias("t")).collect()
+    assert got[0]["r"] == [[1.0, 2.0], [3.0, 4.0]] and got[0]["s"][3] == [4.0, 8.0] and got[0]["t"] == [1.0, 2.0, 3.0, 4.0] * 2
+    assert got[1]["r"] is None and got[1]["s"] is None and got[2]["r"] == [] and got[2]["t"] == []
+    ramp = spark.createDataFrame([([[0.0, 1.0, 2.0, 3.0, 4.0], [1.0, 2.0, 3.0, 4.0, 5.0], [2.0, 3.0, 4.0, 5.0, 6.0], [3.0, 4.0, 5.0, 6.0, 7.0]],)], "i array<array<double>>")
+    image = ramp.select(scalar.resized_image(F.col("i"), (4, 5), (7, 9)).alias("o")).first()["o"]
+    assert all(image[i][j] == pytest.approx(i / 2 + j / 2) for i in range(7) for j in range(9))
+    assert ramp.select(scalar.resized(F.col("i")[0], 5, 1)).first()[0] == [0.0]

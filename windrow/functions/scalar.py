@@ -175,3 +175,48 @@ def f_tail(f: Column, d1: Column, d2: Column) -> Column:
     tail = F.when(x < (a + 1) / (a + b + 2), front * _fraction(a, b, x) / a).otherwise(1 - front * _fraction(b, a, y) / b)
     usable = finite(f.cast("double")) & (f >= 0) & (d1 > 0) & (d2 > 0)
     return F.when(usable & (f == 0), F.lit(1.0)).when(usable, F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail)))
+
+
+def resized(xs: Column, size: int, to: int) -> Column:
+    """An array of size numbers as one of to, linearly, ends on ends."""
+    step = (size - 1) / max(to - 1, 1)
+
+    def at(k: Column) -> Column:
+        place_ = k * F.lit(step)
+        low = F.least(F.floor(place_), F.lit(size - 1)).cast("int")
+        first, second = F.get(xs, low).cast("double"), F.get(xs, F.least(low + 1, F.lit(size - 1))).cast("double")
+        return first + (second - first) * (place_ - low)
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to - 1)), at)
+
+
+def resized_image(rows: Column, shape: tuple[int, int], to: tuple[int, int]) -> Column:
+    """An array of equally long rows of numbers, bilinearly, corners on corners."""
+    wide = F.transform(rows, lambda r: resized(r, shape[1], to[1]))
+    step = (shape[0] - 1) / max(to[0] - 1, 1)
+
+    def at(k: Column) -> Column:
+        place_ = k * F.lit(step)
+        low = F.least(F.floor(place_), F.lit(shape[0] - 1)).cast("int")
+        return F.zip_with(F.get(wide, low), F.get(wide, F.least(low + 1, F.lit(shape[0] - 1))), lambda a, b: a + (b - a) * (place_ - low))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(to[0] - 1)), at)
+
+
+def tiled(xs: Column, times: int) -> Column:
+    """An array over and over."""
+    return F.flatten(F.array_repeat(xs, times))
+
+
+def reshaped(xs: Column, width: int) -> Column:
+    """An array as rows of the given width; null where they do not come out even, no rows for an empty one."""
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(xs) / width).cast("int") - 1)), lambda k: F.slice(xs, k * width + 1, width))
+    return F.when(F.size(xs) == 0, F.slice(rows, 1, 0)).when(F.size(xs) % width == 0, rows)
+
+
+def stacked(*arrays: Column) -> Column:
+    """Equally long arrays side by side: an array of rows with a number of each; null where their lengths differ."""
+    same = reduce(lambda a, b: a & b, [F.size(x) == F.size(arrays[0]) for x in arrays])
+    size = F.size(arrays[0])
+    rows = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), size - 1)), lambda k: F.array(*[F.get(x, k) for x in arrays]))
+    return F.when(same, F.slice(rows, F.lit(1), size))

@@ -22,7 +22,7 @@ def label_windows(windows: DataFrame, triggers: DataFrame, keys: list[str], widt
     met = match_windows(windows, triggers, keys, width)
     n = F.col("match_count")
     met = met.withColumn("label", F.when(n == 0, NOISE).when(n == 1, F.col("label")).otherwise(AMBIGUOUS))
-    out = met.join(F.broadcast(class_ids(triggers)), "label", "left")
+    out = met.join(class_ids(triggers), "label", "left")  # Spark broadcasts it where it is seen to be small
     return out.withColumn("label_id", F.when(n == 0, -1).when(n == 1, F.coalesce("label_id", F.lit(-1))).otherwise(-2).cast("int"))
 
 
@@ -50,7 +50,7 @@ def match_rates(matched: DataFrame, triggers: DataFrame, keys: list[str], unit:
         (F.max("t0") + F.max("dur")).alias("_high"),
         F.max("dur").alias("_dur"),
     )
-    inside = triggers.filter("t is not null").join(F.broadcast(spans.select(*keys, "_low", "_high")), keys).filter((F.col("t") >= F.col("_low")) & (F.col("t") < F.col("_high")))
+    inside = triggers.filter("t is not null").join(spans.select(*keys, "_low", "_high"), keys).filter((F.col("t") >= F.col("_low")) & (F.col("t") < F.col("_high")))
     out = spans.join(inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_triggers")), keys, "left").fillna(0, ["n_triggers"])
     span = (F.col("_high") - F.col("_low")) / unit
     rate = F.when(span > 0, F.col("n_triggers") * F.col("_dur") / unit / F.nullif(span, F.lit(0.0))).otherwise(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import array_percentile, clipped_first, sigmoid, softplus, spaced
+from ..functions.scalar import array_percentile, clipped_first, reshaped, resized, resized_image, sigmoid, softplus, spaced, tiled
 from ..operators import joins, metrics, signal
 from .lookups import TOLERANCE
 from .tables import SCORED, TRIG, WIN, scored, table, triggers, windows
@@ -68,12 +68,18 @@ def window_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of 64 stretched to 127, ends on ends: every second number is a mean of its neighbours."""
-    at = lambda i: F.element_at(F.col("embedding"), i.cast("int") + 1).cast("double")
-    wide = F.transform(F.sequence(F.lit(0), F.lit(126)), lambda k: (at(F.floor(k / 2)) + at(F.ceil(k / 2))) / 2)
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", wide.alias("wide"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", resized(F.col("embedding"), 64, 127).alias("wide"))
     return rows.select("vec_id", F.size("wide").alias("n"), F.round(F.aggregate("wide", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+def reshaped_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of 64 as images of 8 by 8, enlarged to 15 by 15, with the row in the middle of two and a tile of the first row."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", reshaped(F.col("embedding"), 8).alias("image"))
+    rows = rows.withColumn("large", resized_image(F.col("image"), (8, 8), (15, 15)))
+    total = lambda xs: F.round(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), 5)
+    return rows.select("vec_id", F.size("large").alias("n"), total(F.flatten("large")).alias("total"), total(F.col("large")[1]).alias("second"), F.size(tiled(F.col("image")[0], 3)).alias("tile"))
+
+
 def strain_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on every array, as 64 samples a second: conditioned, then an image of 8 by 8 with its log energy. Tested against NumPy."""
     work = lambda x: (lambda z, e: [*z.ravel(), e])(*signal.image(signal.conditioned(x, 64.0, 64.0, 2.0, 24.0, (10.0, 20.0)), 64.0, (0.1, 0.9), (4.0, 24.0), (4.0, 8.0), (8, 8)))
@@ -114,7 +120,7 @@ def fine_to_coarse_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("coarse").agg(F.count(F.lit(1)).alias("n"), F.min("fine").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (fine_to_coarse, nearest_with_fallback, cropped_spans, window_normalised, resized_rows, strain_images, scaled_clip_first, verdict_bands, score_verdict, fine_to_coarse_by_line)}
+QUERIES = {f.__name__: f for f in (fine_to_coarse, nearest_with_fallback, cropped_spans, window_normalised, resized_rows, reshaped_images, strain_images, scaled_clip_first, verdict_bands, score_verdict, fine_to_coarse_by_line)}
 
 
 def _sql_case(table_: dict[str, tuple[str, ...]]) -> str:
@@ -131,6 +137,9 @@ SELECT block, start, CASE WHEN start < 0.8 THEN 16 END AS n, CASE WHEN start < 0
     "window_normalised": """WITH p AS (SELECT vec_id, ln(1 + greatest(unnest(embedding)::double, 0)) AS z FROM embeddings), q AS (SELECT vec_id, quantile_cont(z, 0.99) + 1e-6::double AS p99, quantile_cont(z, 0.9) AS p90 FROM p GROUP BY 1)
 SELECT p.vec_id, round(max(p90), 6) AS log_energy, round(sum(least(1, z / p99)), 5) AS total FROM p JOIN q ON p.vec_id = q.vec_id GROUP BY 1""",
     "resized_rows": """SELECT vec_id, 127 AS n, round(list_sum(list_transform(range(0, 127), lambda k: (embedding[(k // 2) + 1]::double + embedding[((k + 1) // 2) + 1]::double) / 2)), 5) AS total FROM embeddings""",
+    "reshaped_images": """WITH p AS (SELECT vec_id, embedding AS e, r.i AS i, c.j AS j FROM embeddings, range(15) r(i), range(15) c(j)),
+v AS (SELECT vec_id, i, j, (e[(i // 2) * 8 + j // 2 + 1]::double + e[(i // 2) * 8 + (j + 1) // 2 + 1] + e[((i + 1) // 2) * 8 + j // 2 + 1] + e[((i + 1) // 2) * 8 + (j + 1) // 2 + 1]) / 4 AS v FROM p)
+SELECT vec_id, 15 AS n, round(sum(v), 5) AS total, round(sum(v) FILTER (i = 1), 5) AS second, 24 AS tile FROM v GROUP BY 1""",
     "scaled_clip_first": "WITH c AS (SELECT p_partkey, (least(greatest(p_retailprice, 1000.0::double), 1500.0::double) - 1000.0::double) / 500.0::double AS x FROM part) SELECT p_partkey, round(x, 6) AS x, round(ln(1 + exp(x)), 6) AS softplus, round(1 / (1 + exp(-x)), 6) AS sigmoid FROM c",
     "verdict_bands": """WITH p AS (SELECT l_returnflag, avg((l_discount > 0.05::double)::int) AS a, avg((l_tax > 0.01::double)::int) AS b, sum(l_discount * l_quantity) / sum(l_quantity) AS loss, sum(l_quantity) / 3600 AS hours,
 count(*) FILTER (l_linestatus = 'F')::double / nullif(count(*) FILTER (l_linestatus = 'O'), 0) AS w FROM lineitem GROUP BY 1)

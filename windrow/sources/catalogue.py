@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -35,10 +36,8 @@ IFO_NAMES = ("ifo", "IFO", "detector", "channel")
 def _by_header(spark: SparkSession, path: str | list[str], ifo_names: tuple[str, ...] = ("ifo",)) -> DataFrame:
     """FIELDS as text, with file and file_order. Files that share a header are read together, each kind by its own; ifo is the first of ifo_names that a header has."""
     files = spark.read.option("wholetext", False).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    heads = files.filter("at = 0").groupBy("file").agg(F.first("value").alias("header")).collect()  # a row a file
-    kinds: dict[str, list[str]] = {}
-    for row in sorted(heads, key=lambda r: r["file"]):
-        kinds.setdefault(row["header"], []).append(row["file"])
+    heads = files.filter("at = 0").groupBy("file").agg(F.first("value").alias("header"))
+    kinds = {r["header"]: r["files"] for r in heads.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy(F.col("files")[0]).collect()}  # a row a header, with the names of its files
     parts = []
     for names in kinds.values():
         raw = spark.read.option("header", True).csv(names).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_place"))
@@ -72,10 +71,13 @@ def read_none(spark: SparkSession) -> DataFrame:
 
 
 def first_match(spark: SparkSession, folder: str, patterns: tuple[str, ...]) -> DataFrame | None:
-    """The Parquet files of the first pattern that matches any in folder; None where none does."""
+    """The Parquet files of the first pattern that matches any in folder, with a warning where it is not the first of all; None where none does."""
     for pattern in patterns:
         try:
-            return spark.read.option("pathGlobFilter", pattern).parquet(folder)
+            found = spark.read.option("pathGlobFilter", pattern).parquet(folder)
+            if pattern != patterns[0]:
+                warnings.warn(f"{folder} has no {patterns[0]}; {pattern} is read", stacklevel=2)
+            return found
         except AnalysisException as error:
             if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -127,7 +129,9 @@ def filters(*, ifo: str | None = None, confidence: float | None = 0.9, snr: floa
     tests = {} if ifo is None else {"ifo": F.col("ifo") == ifo}
     if confidence is not None:
         tests["confidence"] = F.col("ml_confidence") >= confidence
-    tests["label"] = F.col("label").isNotNull() & ~F.col("label").isin(*excluded) if excluded else F.col("label").isNotNull()
+    tests["label"] = F.col("label").isNotNull()
+    if excluded:
+        tests["excluded"] = ~F.col("label").isin(*excluded)
     tests["time"] = F.col("t").isNotNull() if span is None else F.col("t").between(*span)
     if snr is not None:
         tests["snr"] = F.col("snr") >= snr
@@ -158,7 +162,7 @@ def read_windows(spark: SparkSession, path: str | list[str], *, ifos: list[str]
         if wanted is not None:
             df = df.filter(F.col(column).isin(*wanted))
     if "t0" not in df.columns:
-        df = df.withColumn("t0", F.monotonically_increasing_id().cast("double"))
+        df = df.withColumn("t0", F.col("_metadata.row_index").cast("double"))  # its place in its file
     return df if "log_energy" in df.columns else df.withColumn("log_energy", F.lit(0.0).cast("float"))
 
 
