@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ BROADCAST_BUCKETS = 1_000_000
 #: White space that compatibility decomposition does not already turn into a plain space.
 SPACES = r"[\s\x1C-\x1F\x85   ]+"
 HANGUL = 0xAC00
+#: Maps to which the characters of a table are dealt.
+BUCKETS = 256
 #: The mark whose case fold is a letter; it is folded after marks are put in order.
 IOTA_BELOW, IOTA = "\u0345", "\u03B9"
 
@@ -57,10 +60,19 @@ def _marks() -> tuple[str, list[str], list[int]]:
     return _char_class(chars), chars, [unicodedata.combining(c) for c in chars]
 
 
-def _literal_map(keys: list[str], values: list) -> Column:
-    """One literal, so that the plan does not grow with the table."""
+def _looked_up(keys: list[str], values: list) -> Callable[[Column], Column]:
+    """Look-up of a character, null where it is not among the keys. One literal, so that the plan does not grow with the table: maps by code point modulo BUCKETS, as a map is searched from its first key to its last."""
     kind = "string" if isinstance(values[0], str) else "int"
-    return F.from_json(F.lit(json.dumps(dict(zip(keys, values, strict=True)))), f"map<string,{kind}>")
+    maps: list[dict] = [{} for _ in range(BUCKETS)]
+    for key, value in zip(keys, values, strict=True):
+        maps[ord(key) % BUCKETS][key] = value
+    table = F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>")
+    return lambda c: F.try_element_at(F.get(table, F.pmod(F.ascii(c), F.lit(BUCKETS))), c)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _syllable(char: Column) -> Column:
@@ -79,18 +91,20 @@ def canonical(text: Column) -> Column:
     keys, values = _folds()
     mark_class, marks, classes = _marks()
     changed = rf"[[^\x00-\x7F]&&[{_char_class(keys)}\x{{AC00}}-\x{{D7A3}}]]"
-    fold = _literal_map(keys, values)
+    fold, order = _looked_up(keys, values), _looked_up(marks, classes)
     folded = F.aggregate(
         F.array_distinct(F.regexp_extract_all(text, F.lit(changed), 0)),
         text,
-        lambda acc, c: F.replace(acc, c, F.coalesce(F.element_at(fold, c), _syllable(c))),
+        lambda acc, c: F.replace(acc, c, F.coalesce(fold(c), _syllable(c))),
     )
-    order = _literal_map(marks, classes)
-    runs = F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"[[^\x00-\x7F]&&[{mark_class}]]{{2,}}"), 0))
-    runs = F.reverse(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))))
-    sort_run = lambda run: F.array_join(F.transform(F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(F.coalesce(F.element_at(order, c), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")))), lambda x: x["c"]), "")
-    ordered = F.aggregate(runs, folded, lambda acc, r: F.replace(acc, r["run"], sort_run(r["run"])))
-    full = F.when(text.rlike(r"[^\x00-\x7F]"), F.replace(ordered, F.lit(IOTA_BELOW), F.lit(IOTA))).otherwise(text)
+    sort_run = lambda run: F.array_join(F.transform(F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(F.coalesce(order(c), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")))), lambda x: x["c"]), "")
+
+    def ordered(folded: Column) -> Column:
+        runs = F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"[[^\x00-\x7F]&&[{mark_class}]]{{2,}}"), 0))
+        runs = F.reverse(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))))
+        return F.aggregate(runs, folded, lambda acc, r: F.replace(acc, r["run"], sort_run(r["run"])))
+
+    full = F.when(text.rlike(r"[^\x00-\x7F]"), F.replace(_let(folded, ordered), F.lit(IOTA_BELOW), F.lit(IOTA))).otherwise(text)
     return F.trim(F.regexp_replace(common.ascii_lower(full), SPACES, " "))
 
 
@@ -103,8 +117,8 @@ def digest(text: Column) -> Column:
     return wide_hash(canonical(F.coalesce(text, F.lit(""))))
 
 
-def unequal_buckets(docs: DataFrame, hashed: DataFrame) -> DataFrame:
-    """(digest, canon, place): the texts of buckets whose members' bytes differ; place counts from 0 by bytes.
+def unequal_buckets(hashed: DataFrame) -> DataFrame:
+    """(digest, canon, place) of hashed(text, digest): the texts of buckets whose members' bytes differ; place counts from 0 by bytes.
 
     Only texts in buckets with several members are compared, through the least
     and greatest text of each bucket, so no bucket is ever gathered.
@@ -113,8 +127,7 @@ def unequal_buckets(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     several = common.stage(several, "several")
     if several.count() <= BROADCAST_BUCKETS:
         several = F.broadcast(several)
-    canon = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("canon"))
-    members = canon.withColumn("digest", wide_hash(F.col("canon"))).join(several, "digest", "left_semi")
+    members = hashed.join(several, "digest", "left_semi").select("digest", canonical(F.col("text")).alias("canon"))
     differ = members.groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("most")).filter("least <> most").select("digest")
     differ = common.stage(differ, "differ")
     if differ.isEmpty():
@@ -124,6 +137,25 @@ def unequal_buckets(docs: DataFrame, hashed: DataFrame) -> DataFrame:
     return texts.join(other, "digest").groupBy("digest", "canon").agg(F.count_if(F.col("less") < F.col("canon")).cast("int").alias("place"))
 
 
+def _told_apart(rows: DataFrame, places: DataFrame, text: str, digest_: str, out: str) -> DataFrame:
+    """rows with out: the digest, and for texts that share one with other bytes their place in it; those that no row of the buckets has come next."""
+    if places.isEmpty():
+        return rows.withColumn(out, F.col(digest_))
+    of = places.withColumnsRenamed({"digest": "_windrow_digest", "canon": "_windrow_canon", "place": "_windrow_place"})
+    met = (F.col(digest_) == F.col("_windrow_digest")) & (canonical(F.coalesce(text, F.lit(""))) == F.col("_windrow_canon"))
+    counts = places.groupBy(F.col("digest").alias("_windrow_of")).agg(F.count(F.lit(1)).alias("_windrow_n"))
+    joined = rows.join(of, met, "left").join(counts, F.col(digest_) == F.col("_windrow_of"), "left")
+    place = F.coalesce("_windrow_place", "_windrow_n", F.lit(0))
+    return joined.withColumn(out, F.when(place > 0, F.concat_ws("-", digest_, place)).otherwise(F.col(digest_))).drop("_windrow_digest", "_windrow_canon", "_windrow_place", "_windrow_of", "_windrow_n")
+
+
+def hashed_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs with digest, staged, null texts as empty ones; its unequal_buckets()): the canonical form of each text is made once, and again for members of buckets only."""
+    hashed = docs.drop("fingerprint").withColumn("digest", digest(F.col("text")))
+    hashed = common.stage(hashed, "hashed", keep=True)
+    return hashed, common.stage(unequal_buckets(hashed.select(F.coalesce("text", F.lit("")).alias("text"), "digest")), "places", keep=True)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) with digest, and with fingerprint, which tells equal digests of different bytes apart.
 
@@ -131,14 +163,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     same bytes. Null text counts as empty; repeated rows and null ids are kept;
     other columns pass through, but columns named digest or fingerprint are replaced; an empty table gives none.
     """
-    hashed = docs.drop("fingerprint").withColumn("digest", digest(F.col("text")))
-    places = common.stage(unequal_buckets(docs.select("text"), hashed.select("digest")), "places")
-    if places.isEmpty():
-        return hashed.withColumn("fingerprint", F.col("digest"))
-    places = places.withColumnsRenamed({"digest": "_windrow_digest", "canon": "_windrow_canon", "place": "_windrow_place"})
-    met = (F.col("digest") == F.col("_windrow_digest")) & (canonical(F.coalesce("text", F.lit(""))) == F.col("_windrow_canon"))
-    out = hashed.join(places, met, "left").drop("_windrow_digest", "_windrow_canon")
-    return out.withColumn("fingerprint", F.when(F.coalesce("_windrow_place", F.lit(0)) > 0, F.concat_ws("-", "digest", "_windrow_place")).otherwise(F.col("digest"))).drop("_windrow_place")
+    with common.scratch(docs.sparkSession):
+        hashed, places = hashed_texts(docs)
+    return _told_apart(hashed, places, "text", "digest", "fingerprint")
 
 
 def successors(docs: DataFrame) -> DataFrame:
@@ -158,11 +185,14 @@ def edited(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of the text with its last third taken from the next document.
 
     Rows that share a doc_id keep their own texts; as the next document, such
-    an id stands for the least of its texts.
+    an id stands for the least of its texts. An edited text that has the digest of
+    other bytes is told apart from them like a document's.
     """
     docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    links = common.stage(successors(docs), "links").withColumnRenamed("doc_id", "_id")
-    prints = fingerprints(docs)
+    with common.scratch(docs.sparkSession):
+        links = common.stage(successors(docs), "links", keep=True).withColumnRenamed("doc_id", "_id")
+        hashed, places = hashed_texts(docs)
+    prints = _told_apart(hashed, places, "text", "digest", "fingerprint")
     tails = prints.join(links, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     tails = tails.select(F.col("before").alias("_id"), F.struct(F.substring("text", F.lit(1), F.col("need").cast("int")).alias("tail"), F.col("fingerprint").alias("next")).alias("t"))
     tails = tails.groupBy("_id").agg(F.min("t").alias("t"))
@@ -170,6 +200,6 @@ def edited(docs: DataFrame) -> DataFrame:
     n = F.length("text").cast("long")
     third = F.floor(n / 3).cast("int")
     out = out.withColumns({"n_chars": n, "edited": F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring("t.tail", F.lit(1), third))})
-    out = out.withColumn("edited_fingerprint", digest(F.col("edited")))
+    out = _told_apart(out.withColumn("edited_digest", digest(F.col("edited"))), places, "edited", "edited_digest", "edited_fingerprint")
     like = lambda other: F.when(F.col("fingerprint") == other, 1.0).otherwise(0.0)
     return out.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", like(F.col("edited_fingerprint")).alias("near_edited"), like(F.col("t.next")).alias("near_next"))
