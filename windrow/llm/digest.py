@@ -17,6 +17,8 @@ BROADCAST_BUCKETS = 1_000_000
 #: White space that compatibility decomposition does not already turn into a plain space.
 SPACES = r"[\s\x1C-\x1F\x85   ]+"
 HANGUL = 0xAC00
+#: Cherokee, whose folds are its capital letters.
+UPWARD = r"[\x{13A0}-\x{13FF}\x{AB70}-\x{ABBF}]"
 #: Maps to which the characters of a table are dealt.
 BUCKETS = 256
 #: The mark whose case fold is a letter; it is folded after marks are put in order.
@@ -90,22 +92,21 @@ def canonical(text: Column) -> Column:
     """
     keys, values = _folds()
     mark_class, marks, classes = _marks()
-    changed = rf"[[^\x00-\x7F]&&[{_char_class(keys)}\x{{AC00}}-\x{{D7A3}}]]"
     fold, order = _looked_up(keys, values), _looked_up(marks, classes)
-    folded = F.aggregate(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(changed), 0)),
-        text,
-        lambda acc, c: F.replace(acc, c, F.coalesce(fold(c), _syllable(c))),
-    )
+    becomes = lambda c: F.when(F.ascii(c).between(HANGUL, HANGUL + 11171), _syllable(c)).otherwise(fold(c))
+    others = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]"), 0)), lambda c: F.struct(c.alias("c"), becomes(c).alias("to")))
+    folded = F.aggregate(others, text, lambda acc, x: F.when(x["to"].isNull(), acc).otherwise(F.replace(acc, x["c"], x["to"])))
     sort_run = lambda run: F.array_join(F.transform(F.array_sort(F.transform(F.split(run, ""), lambda c, i: F.struct(F.coalesce(order(c), F.lit(0)).alias("k"), i.alias("i"), c.alias("c")))), lambda x: x["c"]), "")
 
     def ordered(folded: Column) -> Column:
         runs = F.array_distinct(F.regexp_extract_all(folded, F.lit(rf"[[^\x00-\x7F]&&[{mark_class}]]{{2,}}"), 0))
         runs = F.reverse(F.array_sort(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("run")))))
-        return F.aggregate(runs, folded, lambda acc, r: F.replace(acc, r["run"], sort_run(r["run"])))
+        put = F.aggregate(runs, folded, lambda acc, r: F.replace(acc, r["run"], sort_run(r["run"])))
+        return F.when(folded.rlike(r"[^\x00-\x{2FF}]{2}"), put).otherwise(folded)  # marks lie beyond U+02FF; most texts have no two in a row
 
     full = F.when(text.rlike(r"[^\x00-\x7F]"), F.replace(_let(folded, ordered), F.lit(IOTA_BELOW), F.lit(IOTA))).otherwise(text)
-    return F.trim(F.regexp_replace(common.ascii_lower(full), SPACES, " "))
+    lower = lambda x: F.when(x.rlike(UPWARD), common.ascii_lower(x)).otherwise(F.lower(x))  # all other letters are folded, so A-Z alone are left
+    return F.trim(F.regexp_replace(_let(full, lower), SPACES, " "))
 
 
 def wide_hash(canon: Column) -> Column:
