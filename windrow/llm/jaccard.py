@@ -5,8 +5,8 @@ it down, both exact. First, on prefixes of the sets in hash order, extended so t
 a linked pair must share many prefix tokens, not one: documents that share fewer
 with all others have no link. Then, for those left, tokens are ordered by
 frequency, rare first, and prefixes extended by one token for each class of
-frequent tokens: rare prefix tokens are keys by themselves, of frequent ones the
-pairs within a class. A key bounds what two sets can share: what is left of them from
+frequent tokens, of which longer sets have more: rare prefix tokens are keys by themselves,
+of frequent ones the pairs within a class. A key bounds what two sets can share: what is left of them from
 its place on. Pairs that share a key that leaves enough are verified on their whole sets.
 """
 
@@ -24,8 +24,10 @@ from . import common, linking, words
 WORDS, PERCENT = 4, 85
 #: Extension of the first prefix, in percent of the least overlap.
 EXTENSION = 15
-#: Tokens of more sets than this are frequent; their pairs are keys, within CLASSES classes.
-FREQUENT, CLASSES = 64, 8
+#: Tokens of more sets than this are frequent; their pairs are keys, within classes: CLASSES at least, and one for so many tokens of the larger set.
+FREQUENT, CLASSES, TOKENS_OF_CLASS = 64, 8, 32
+#: Keys that a task holds before it hands them on.
+KEYS_AT_ONCE = 1 << 20
 #: Ids up to this many are broadcast to the documents; beyond, they are joined by shuffle.
 BROADCAST_IDS = 200_000
 
@@ -69,48 +71,65 @@ def _whole(n_words: int):
     return run
 
 
+def _spaces(n: int, percent: int) -> list[int]:
+    """Numbers of classes of the sizes that a set of n links with: one for each power of two, so two at most where percent is over 71."""
+    sizes = range(_overlap(n, percent).bit_length() - 1, (100 * n // percent).bit_length())
+    return sorted({max(CLASSES, (1 << b) // TOKENS_OF_CLASS) for b in sizes})
+
+
+def _keys(n: int, percent: int, df: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a set of n whose shared tokens are given, rare first, and how much of it is left to share at each."""
+    least, lone = _overlap(n, percent), n - len(token)  # tokens of this set alone come first
+    made, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for spaces in _spaces(n, percent):
+        take = min(n, n - least + 1 + spaces) - lone
+        if take <= 0:
+            continue
+        tokens, alone = token[:take], df[:take] <= FREQUENT
+        left = len(token) - np.arange(len(tokens))
+        single = np.ones(len(tokens), bool) if least <= spaces else alone
+        made.append(tokens[single])
+        more.append(left[single])
+        often = np.flatnonzero(~alone)
+        of = tokens[often] % np.uint64(spaces)
+        fresh = np.zeros(len(tokens), np.int64)
+        fresh[often[np.unique(of, return_index=True)[1]]] = 1
+        before = np.cumsum(fresh) - fresh
+        by_class = np.argsort(of, kind="stable")
+        for at in np.split(often[by_class], np.flatnonzero(np.diff(of[by_class])) + 1):
+            i, j = (at[x] for x in np.triu_indices(len(at), 1))
+            made.append(words.mix(np.minimum(tokens[i], tokens[j]) * words.GRAM[0] + np.maximum(tokens[i], tokens[j]) * words.GRAM[1] + np.uint64(spaces)))
+            more.append(left[j] + before[j])
+    made, more = np.concatenate(made), np.concatenate(more)
+    by_key = np.lexsort((-more, made))
+    made, more = made[by_key], more[by_key]
+    first = np.append(True, made[1:] != made[:-1])[: len(made)]
+    return made[first], more[first]
+
+
 def _signatures(percent: int):
     """Keys of each set from its shared tokens with their frequencies, and how much the set can share with one that has the same key.
 
     The first token that two linked sets have in common is a key of both, or the first two of a class
     are; before the latter's second they share one token at most of each class that came before it.
+    Classes grow in number with the larger set, so a set's keys are fewer than three times its tokens, however long it is.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, items, rest = [], [], []
-            for k, n in enumerate(batch.column(1).to_numpy()):
+            keys, rest, items, n_keys = [], [], [], 0
+            for k, n in enumerate(batch.column(1).to_pylist()):
                 pairs = batch.column(2)[k].values
                 df, token = pairs.field("df").to_numpy(), pairs.field("token").to_numpy().view(np.uint64)
-                least, lone = _overlap(int(n), percent), int(n) - len(token)  # tokens of this set alone come first
-                take = min(int(n), int(n) - least + 1 + CLASSES) - lone
-                if take <= 0:
-                    continue
-                order = np.lexsort((token, df))[:take]
-                df, token = df[order], token[order]
-                left = int(n) - lone - np.arange(len(token))
-                alone = df <= FREQUENT
-                single = np.ones(len(token), bool) if least <= CLASSES else alone
-                made, more = [token[single]], [left[single]]
-                often = np.flatnonzero(~alone)
-                fresh = np.zeros(len(token), np.int64)
-                fresh[often[np.unique(token[often] % np.uint64(CLASSES), return_index=True)[1]]] = 1
-                before = np.cumsum(fresh) - fresh
-                for c in range(CLASSES):
-                    at = np.flatnonzero(~alone & (token % np.uint64(CLASSES) == c))
-                    i, j = (at[x] for x in np.triu_indices(len(at), 1))
-                    made.append(words.mix(np.minimum(token[i], token[j]) * words.GRAM[0] + np.maximum(token[i], token[j]) * words.GRAM[1]))
-                    more.append(left[j] + before[j])
-                made, more = np.concatenate(made), np.concatenate(more)
-                by_key = np.lexsort((-more, made))
-                made, more = made[by_key], more[by_key]
-                first = np.append(True, made[1:] != made[:-1])[: len(made)]
-                keys.append(made[first])
-                rest.append(more[first])
-                items.append(np.full(int(first.sum()), k))
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            at, more = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (items, rest))
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column(0).take(pa.array(at)), pa.array(more)], ["key", "item", "rest"])
+                order = np.lexsort((token, df))
+                made, more = _keys(n, percent, df[order], token[order])
+                keys.append(made)
+                rest.append(more)
+                items.append(np.full(len(made), k))
+                n_keys += len(made)
+                if n_keys >= KEYS_AT_ONCE or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(pa.array(np.concatenate(items))), pa.array(np.concatenate(rest))], ["key", "item", "rest"])
+                    keys, rest, items, n_keys = [], [], [], 0
 
     return run
 
@@ -144,7 +163,10 @@ def classes(docs: DataFrame, n_words: int = WORDS, percent: int = PERCENT) -> Da
             sets = common.stage(_with_ids(texts, near).mapInArrow(_whole(n_words), f"doc_id {kind}, n long, h1 long, h2 long, tokens array<long>"), "sets")
             same = sets.filter("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("item"))
             member = common.stage(sets.filter("n > 0").select("doc_id", "h1", "h2", "n").join(same, ["h1", "h2", "n"]).select("doc_id", "item", "n").distinct(), "classes", keep=True)
-            whole = common.stage(sets.join(same, ["h1", "h2", "n"]).filter("doc_id = item").select("item", "n", "tokens").dropDuplicates(["item", "n"]), "whole", keep=True)
+            # by id, not by class: the token arrays of all copies of a text would meet in one task
+            first_of = same.withColumnRenamed("item", "doc_id")
+            whole = sets.join(F.broadcast(first_of) if first_of.count() <= BROADCAST_IDS else first_of, ["doc_id", "n", "h1", "h2"], "left_semi")
+            whole = common.stage(whole.select(F.col("doc_id").alias("item"), "n", "tokens").dropDuplicates(["item", "n"]), "whole", keep=True)
 
         tokens = whole.select("item", "n", F.explode("tokens").alias("token"))
         often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
