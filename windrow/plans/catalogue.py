@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classifying, evaluation, fitting, labelling, lookups, normalising, sampling, strain
+from . import classifying, evaluation, exchange, fitting, labelling, lookups, normalising, sampling, strain
 
-MODULES = (labelling, lookups, sampling, normalising, evaluation, classifying, fitting, strain)
+MODULES = (labelling, lookups, sampling, normalising, evaluation, classifying, fitting, strain, exchange)
 
 
 def queries() -> dict:

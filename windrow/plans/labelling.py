@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import labels, norm, ranking, splits, staging
 from ..streaming import intervals
-from .tables import DUR, MIDDLE, TRIG, WIN, triggers, windows
+from .tables import DUR, MIDDLE, TRIG, WIN, streamed, triggers, windows
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +61,7 @@ def temporal_p80(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks and the errors in the minute after each, both read as streams until all there is has been joined."""
-    path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    alone = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
-    events = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if alone else stream.parquet(path)  # streams read folders
+    events = streamed(spark, sf_dir, "events")
     at = F.col("ts").cast("timestamp")
     clicks = events.filter("event_type = 'click'").select(F.col("event_id").alias("window_id"), (F.col("user_id") % 2).alias("ifo"), at.alias("start"), (at + F.expr("interval 1 minute")).alias("end"))
     errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("trigger_id"), (F.col("user_id") % 2).alias("ifo"), at.alias("at"))

@@ -16,6 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream; streams read folders, so a table that is one file is picked from its own."""
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    alone = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir) if alone else stream.parquet(path)
+
+
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors as triggers: trigger_id, t, ifo, label, snr."""
     events = table(spark, sf_dir, "events").filter("event_type = 'error'")
