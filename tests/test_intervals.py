@@ -130,3 +130,21 @@ def test_running_sums_and_percentiles_over_many_ranges(spark):
     bounds = [1.0, 2.0, 2.5, 7.0, 8.0, 9.0, 11.0]
     rows = spark.range(-2, 30).select((F.col("id") / 2).alias("x"))
     assert all(r["p"] == sum(b <= r["x"] for b in bounds) for r in rows.withColumn("p", ranking.place(F.lit(np.array(bounds)), F.col("x"))).collect())
+
+
+def test_stream_join_by_buckets_of_time(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    windows = [(k, 0, clock(m), clock(m + float(rng.choice([0, 0.5, 1])))) for k, m in enumerate(np.round(rng.uniform(0, 300, 400), 1))]
+    points = [(k, 0, clock(m)) for k, m in enumerate(np.round(rng.uniform(-5, 310, 600), 1))]
+    wschema, pschema = "window_id long, ifo long, start timestamp, end timestamp", "point_id long, ifo long, at timestamp"
+    spark.createDataFrame(windows, wschema).write.parquet(f"{tmp_path}/w")
+    spark.createDataFrame(points, pschema).write.parquet(f"{tmp_path}/p")
+    read = lambda part, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{part}")
+    joined = intervals.interval_join(read("w", wschema), read("p", pschema), "start", "end", "at", ["ifo"], longest="1 minute")
+    query = joined.writeStream.format("memory").queryName("bucketed").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r["window_id"], r["point_id"]) for r in spark.table("bucketed").collect())
+    assert got == sorted((w, p) for w, _, a, b in windows for p, _, t in points if a <= t < b) and len(got) > 100
+    plan = query._jsq.explainInternal(False)
+    line = next(x for x in plan.splitlines() if "StreamingSymmetricHashJoin" in x)
+    assert "_mine" in line.split("]")[0]  # a key of the state, with ifo: no row is held against all of its ifo
