@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 
 #: A level's buckets are so many times as wide as those of the level below.
@@ -65,31 +65,74 @@ def match_windows(windows: DataFrame, triggers: DataFrame, keys: list[str], widt
     return out.withColumns({"match_count": F.coalesce("match_count", F.lit(0)), "label": F.col("_first._label")}).drop("_first")
 
 
-def nearest(left: DataFrame, right: DataFrame, at: str, of: str, tolerance: int, keys: list[str], order: list[Column] | None = None, *, closed: bool = True) -> DataFrame:
-    """left with the struct match: the nearest row of right within the tolerance; of two as near, the earlier one.
+def nearest(left: DataFrame, right: DataFrame, at: str, of: str, tolerance: int, keys: list[str], *, closed: bool = True) -> DataFrame:
+    """left with the struct match: the nearest row of right within the tolerance; of two as near, the earlier one, of two at one time the least.
 
-    order: another choice among the rows within the tolerance. closed: whether a distance equal to the
-    tolerance counts. Buckets of twice the tolerance keep every meeting local; no side is ever ordered whole.
+    closed: whether a distance equal to the tolerance counts. Times of left and rows of right are put in order within buckets of
+    twice the tolerance, where each time takes the last row up to it and the first after it: no pairs are made, and no side is ever ordered whole.
     """
     width = 2 * tolerance + 1
-    own = left.withColumn("_id", F.struct(*left.columns))
-    near = own.select("_id", *keys, F.col(at).alias("_at"), F.explode(F.array_distinct(F.array(F.floor((F.col(at) - tolerance) / width), F.floor((F.col(at) + tolerance) / width)))).alias("_bucket"))
-    other = right.select(*keys, F.col(of).alias("_of"), F.struct(*right.columns).alias("match"), F.floor(F.col(of) / width).alias("_bucket"))
-    gap = F.abs(F.col("_of") - F.col("_at"))
-    met = near.join(other, [*keys, "_bucket"]).filter(gap <= tolerance if closed else gap < tolerance)
-    best = met.groupBy("_id").agg(F.min_by("match", F.struct(*(order or [gap, F.col("_of")]))).alias("match"))
-    return own.join(best, "_id", "left").drop("_id")
+    bucket = lambda c: F.floor(c / width)
+    times, rows = _times(left, at, keys), _rows(right, of, keys, F.struct(*right.columns))
+    asked = times.select(*keys, "_at", F.explode(F.array_distinct(F.array(bucket(F.col("_at") - tolerance), bucket(F.col("_at") + tolerance)))).alias("_bucket"))
+    both = rows.withColumn("_bucket", bucket(F.col("_at"))).unionByName(asked, allowMissingColumns=True)
+    # of equal times rows come before those that ask, from either end
+    last = F.max(F.when(F.col("_row").isNotNull(), F.struct("_at", "_row"))).over(_up_to(keys))
+    first = F.min(F.when(F.col("_row").isNotNull(), F.struct("_at", "_row"))).over(_down_to(keys))
+    seen = both.withColumns({"_last": last, "_first": first}).filter("_row is null")
+    gap = lambda c: F.abs(F.col(f"{c}._at") - F.col("_at"))
+    near = lambda c: F.when(gap(c) <= tolerance if closed else gap(c) < tolerance, F.struct(gap(c).alias("gap"), F.col(f"{c}._at").alias("of"), F.col(f"{c}._row").alias("row")))
+    best = seen.groupBy(*keys, "_at").agg(F.min(F.least(near("_last"), near("_first")))["row"].alias("match"))
+    return _matched(left, best, at, keys)
 
 
 def exact_then_tolerance(left: DataFrame, right: DataFrame, at: str, of: str, tolerance: int, keys: list[str], file_order: str) -> DataFrame:
     """left with match: the row of right with the same time, else the first in file order that is nearer than the tolerance.
 
-    A time that right repeats keeps its first place and its last row.
+    A time that right repeats keeps its first place and its last row. Buckets are as long as the reach of a time, which so lies in the end
+    of one and the beginning of the next: the first of these two are running minima, and no pairs are made.
     """
-    per = Window.partitionBy(*keys, of)
-    placed = right.withColumns({"_place": F.min(file_order).over(per), "_last": F.row_number().over(per.orderBy(F.desc(file_order)))}).filter("_last = 1").drop("_last")
-    exact_first = [(F.col("_of") != F.col("_at")).cast("int"), F.col("match._place")]
-    return nearest(left, placed, at, of, tolerance, keys, exact_first, closed=False)
+    bucket = F.floor(F.col("_at") / (2 * tolerance)) if tolerance > 0 else F.lit(0)
+    row = F.struct(F.min(file_order).alias("_place"), F.max_by(F.struct(*right.columns), F.struct(file_order)).alias("_r"))
+    rows = _rows(right.filter(F.lit(tolerance > 0)), of, keys, row, whole=True)
+    rows = rows.withColumns({"_row": F.struct("_row._place", F.struct("_row._r.*", "_row._place").alias("match")), "_bucket": bucket})
+    asked = _times(left, at, keys).withColumn("_asks", F.col("_at")).withColumn("_at", F.col("_asks") - tolerance).withColumn("_bucket", bucket)
+    asked = asked.withColumn("_end", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"_at": F.col("_at") + F.col("_end") * 2 * tolerance, "_bucket": F.col("_bucket") + F.col("_end")})
+    both = rows.unionByName(asked, allowMissingColumns=True)
+    # a row as far as the tolerance does not count: of equal times those that ask come before rows, from either end
+    seen = both.withColumns({"_to": F.min("_row").over(_up_to(keys, False)), "_from": F.min("_row").over(_down_to(keys, False))}).filter("_asks is not null")
+    found = seen.groupBy(*keys, F.col("_asks").alias("_at")).agg(F.min(F.when(F.col("_end") == 1, F.col("_to")).otherwise(F.col("_from")))["match"].alias("_near"))
+    best = found.join(rows, [*keys, "_at"], "left").select(*keys, "_at", F.coalesce("_row.match", "_near").alias("match"))
+    return _matched(left, best, at, keys)
+
+
+def _times(left: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    return left.select(*keys, F.col(at).alias("_at")).dropna().distinct()
+
+
+def _rows(right: DataFrame, of: str, keys: list[str], row: Column, *, whole: bool = False) -> DataFrame:
+    """(keys, _at, _row): one row for each time; row is of a single row, whole: an aggregate."""
+    known = right.filter(F.col(of).isNotNull()).dropna(subset=keys)
+    return known.groupBy(*keys, F.col(of).alias("_at")).agg((row if whole else F.min(row)).alias("_row"))
+
+
+def _up_to(keys: list[str], closed: bool = True) -> WindowSpec:
+    """Rows of a bucket up to a time, with those of the time itself if closed."""
+    return Window.partitionBy(*keys, "_bucket").orderBy("_at", F.col("_row").isNull() if closed else F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _down_to(keys: list[str], closed: bool = True) -> WindowSpec:
+    """Rows of a bucket from a time on, the last first."""
+    return Window.partitionBy(*keys, "_bucket").orderBy(F.desc("_at"), F.col("_row").isNull() if closed else F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _matched(left: DataFrame, best: DataFrame, at: str, keys: list[str]) -> DataFrame:
+    """left with the match of its keys and time."""
+    theirs = best.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_at").alias("_k"), "match")
+    same = F.col(at) == F.col("_k")
+    for i, k in enumerate(keys):
+        same = same & (F.col(k) == F.col(f"_k{i}"))
+    return left.join(theirs, same, "left").select(*left.columns, "match")
 
 
 def rounded_member(left: DataFrame, right: DataFrame, at: Column, of: Column, places: int) -> DataFrame:
