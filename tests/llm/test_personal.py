@@ -68,3 +68,28 @@ def test_thresholds_hold_the_precision():
     bins = [{"kind": "iban", "bin": 19, "good": 500.0, "n": 500}, {"kind": "iban", "bin": 12, "good": 10.0, "n": 400}, {"kind": "local_phone", "bin": 12, "good": 600.0, "n": 600}]
     got = personal._thresholds(bins)
     assert got["iban"] == 0.95 and got["local_phone"] == 0.6 and personal._thresholds([]) == dict.fromkeys(personal.MORE, 1.0)
+
+
+def test_trees_and_thresholds_see_all_decided(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = {}
+
+    class Model:
+        def transform(self, rows):
+            seen.setdefault("held_out", rows.count())  # first the held-out, then those left open
+            return rows.withColumn("probability", F.col("features"))
+
+    def fit(self, rows, params=None):
+        seen["fitted"] = rows.count()
+        return Model()
+
+    monkeypatch.setattr(personal.GBTClassifier, "fit", fit)
+    n = 12_000
+    text = F.concat(F.lit("ssn 123-45-6789 then isbn 555-123-4567 and 555-"), (F.col("id") % 900 + 100).cast("string"), F.lit("-7654"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"))
+    found = personal.candidates(docs).withColumn("valid", personal.valid(F.col("kind"), F.col("match")))
+    decided = personal._decided(found).filter("label is not null").count()
+    with personal.common.scratch(spark):
+        personal._selected(found)
+    assert decided > 20_000 and seen["fitted"] + seen["held_out"] == decided

@@ -21,14 +21,12 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: Candidates that the trees are fitted on: about so many.
-SAMPLE = 20_000
 TREES, DEPTH = 12, 3
 #: A threshold is the least score, in steps of 0.05, over which this share of the held-out candidates is valid.
 PRECISION = 0.95
 #: What the held-out candidates of all kinds together weigh, in candidates, beside a kind's own.
 PRIOR = 20
-#: What a decided candidate of a rare kind weighs at most, of a common one 1.
+#: What a decided candidate of a rare kind weighs at most; of a common one 1 or less.
 HEAVIEST = 20.0
 #: Characters of context kept on each side of a candidate.
 CONTEXT = 24
@@ -203,8 +201,11 @@ def _thresholds(bins: list) -> dict[str, float]:
     return out
 
 
-def _selected(found: DataFrame, sample: int = SAMPLE, seed: int = 8) -> DataFrame:
-    """The candidates of the other generators that hold by their own checks, with score 1, and those that the trees select, with theirs."""
+def _selected(found: DataFrame, seed: int = 8) -> DataFrame:
+    """The candidates of the other generators that hold by their own checks, with score 1, and those that the trees select, with theirs.
+
+    Trees are fitted on all decided candidates of three texts in four, thresholds are counted on all of the fourth.
+    """
     rows, names = _features(common.stage(_decided(found), "decided"))
     rows = VectorAssembler(inputCols=names, outputCol="features").transform(rows.fillna(0.0, names))
     more, spans = rows.filter(~F.col("kind").isin(*BASE)), ["doc_id", "_key", "kind", "start", "end"]
@@ -214,19 +215,17 @@ def _selected(found: DataFrame, sample: int = SAMPLE, seed: int = 8) -> DataFram
     of = lambda label: [n for (_, k), n in counts.items() if k == label]
     if not of(0.0) or not of(1.0) or more.filter("label is null").isEmpty():  # nothing to learn from, or nothing to score
         return sure
-    spread = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "kind", "start"), F.lit(1_000_000_007)) / F.lit(1_000_000_007.0)
-    drawn_of = {c: min(n, sample / 2 / len(of(c[1]))) for c, n in counts.items()}  # each kind has the same share of a label's half
-    most = {label: max(n for c, n in drawn_of.items() if c[1] == label) for label in (0.0, 1.0)}
-    per = lambda f: reduce(lambda w, c: w.when((F.col("kind") == c[0]) & (F.col("label") == c[1]), F.lit(float(f(c)))), counts, F.when(F.lit(False), 0.0))
-    drawn = known.filter(spread < per(lambda c: drawn_of[c] / counts[c])).withColumn("weight", per(lambda c: min(most[c[1]] / drawn_of[c], HEAVIEST)))
-    drawn = common.stage(drawn.select("doc_id", "kind", "label", "weight", "features"), "drawn")
-    held_out = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    fitted = drawn.filter(~held_out)
+    even = {label: sum(counts.values()) / 2 / len(of(label)) for label in (0.0, 1.0)}  # each kind weighs the same share of a label's half
+    most = {label: max(min(n, even[label]) for n in of(label)) for label in (0.0, 1.0)}
+    weight = reduce(lambda w, c: w.when((F.col("kind") == c[0]) & (F.col("label") == c[1]), F.lit(float(min(most[c[1]] / counts[c], HEAVIEST)))), counts, F.when(F.lit(False), 0.0))
+    known = common.stage(known.withColumn("weight", weight).select("doc_id", "kind", "label", "weight", "features"), "known")
+    held_out = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0, F.lit(False))
+    fitted = known.filter(~held_out)
     if fitted.select("label").distinct().count() < 2:
         return sure
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=0.3, weightCol="weight").fit(fitted)
     score = vector_to_array("probability")[1]
-    thresholds = _thresholds(model.transform(drawn.filter(held_out)).groupBy("kind", F.floor(score * 20).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())  # 21 rows a kind at most
+    thresholds = _thresholds(model.transform(known.filter(held_out)).groupBy("kind", F.floor(score * 20).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())  # 21 rows a kind at most
     least = reduce(lambda w, k: w.when(F.col("kind") == k, F.lit(thresholds[k])), MORE, F.when(F.lit(False), 1.0))
     open_ = model.transform(more.filter("label is null")).withColumn("score", score).filter(F.col("score") >= least)
     return sure.union(open_.select(*spans, "score"))
